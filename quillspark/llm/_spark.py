@@ -4,7 +4,12 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A Bloom filter's bits, as a power of 2: 8 MB, however much it holds.
+BLOOM = 26
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,3 +34,19 @@ def cut(df: DataFrame) -> DataFrame:
     """df, computed once and written to the shared folder; its lineage ends there, so a lost executor costs nothing."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def bloom_of(df: DataFrame, hashed: Column) -> np.ndarray:
+    """A Bloom filter with one bit a row, from the low bits of a column of hashes. Its words are combined before they are shuffled; the driver gets 2^20 of them at most."""
+    bit = hashed.bitwiseAND(F.lit((1 << BLOOM) - 1))
+    b = df.select(F.shiftright(bit, 6).cast("int").alias("w"), bit.bitwiseAND(63).cast("int").alias("s"))
+    words = b.groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, s)")).alias("bits")).toArrow()
+    out = np.zeros(1 << (BLOOM - 6), np.int64)
+    out[np.asarray(words["w"])] = np.asarray(words["bits"])
+    return out.view(np.uint64)
+
+
+def in_bloom(bloom: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether each hash may be in the filter."""
+    bit = hashes & ((1 << BLOOM) - 1)
+    return ((bloom[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)

@@ -30,10 +30,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import _text as tx
-from quillspark.llm._spark import cut, load
+from quillspark.llm._spark import bloom_of, cut, in_bloom, load
 from quillspark.llm.components import components
 
-N, BLOCK, COMMON, BLOOM = 3, 256, 20, 26
+N, BLOCK, COMMON = 3, 256, 20
 
 
 class Rarity:
@@ -238,19 +238,14 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: i
 
 
 def _wanted_sets(docs: DataFrame, text: str, doc_id: str, rare: Rarity, wanted: DataFrame) -> DataFrame:
-    """(sid, keys) of the classes of wanted (sid, rep). A Bloom filter of 2^BLOOM bits over their documents keeps most others from being sent."""
-    bit = F.pmod(F.xxhash64("rep"), F.lit(1 << BLOOM))
-    words = wanted.groupBy(F.shiftright(bit, 6).cast("int").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(rep), {1 << BLOOM}) & 63 as int))")).alias("bits")).toArrow()
-    bloom = np.zeros(1 << (BLOOM - 6), np.int64)
-    bloom[np.asarray(words["w"])] = np.asarray(words["bits"])
-    state = docs.sparkSession.sparkContext.broadcast((bloom.view(np.uint64), rare))
-    source = docs.select(docs[doc_id].cast("long").alias("rep"), docs[text].cast("string").alias("t")).withColumn("bit", F.pmod(F.xxhash64("rep"), F.lit(1 << BLOOM)))
+    """(sid, keys) of the classes of wanted (sid, rep). A Bloom filter over their documents keeps most others from being sent."""
+    state = docs.sparkSession.sparkContext.broadcast((bloom_of(wanted, F.xxhash64("rep")), rare))
+    source = docs.select(F.xxhash64(docs[doc_id].cast("long")).alias("h"), docs[text].cast("string").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, rare_ = state.value
         for b in batches:
-            bit_ = np.asarray(b.column(2)).astype(np.int64)
-            b = b.filter(pa.array(((bits[bit_ >> 6] >> (bit_ & 63).astype(np.uint64)) & tx.U(1)).astype(bool)))
+            b = b.filter(pa.array(in_bloom(bits, np.asarray(b.column(0)))))
             d, o = tx.text_buffer(b.column(1))
             for _, _, x, y in tx.chunks(d, o):
                 got = {set_hash(s): s for s in sets(x, y, rare_) if len(s)}
