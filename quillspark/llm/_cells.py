@@ -1,0 +1,72 @@
+"""Cells: small groups of sets that meet in one task, with all their overlaps at once."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BLOCK = 256
+
+
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """The sizes of all pairs' intersections, as a product of 0-1 tables over the elements that two or more hold."""
+    m = len(sets)
+    if m == 2:
+        n = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
+        return np.array([[len(sets[0]), n], [n, len(sets[1])]])
+    owner = np.repeat(np.arange(m), [len(x) for x in sets])
+    _, back, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    some = times[back] > 1
+    owner, back = owner[some], (np.cumsum(times > 1) - 1)[back[some]]
+    order = np.argsort(back, kind="stable")
+    owner, back = owner[order], back[order]
+    width, out, step = int(back[-1]) + 1 if len(back) else 0, np.zeros((m, m), np.float32), 4096
+    for k in range(0, width, step):
+        p, q = np.searchsorted(back, [k, k + step])
+        table = np.zeros((m, min(step, width - k)), np.float32)
+        table[owner[p:q], back[p:q] - k] = 1
+        out += table @ table.T
+    return out.astype(np.int64)
+
+
+def placed(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """rows (cell, id) with block, i and j: a cell of more than `block` rows is cut into blocks that meet in pairs (i, j), so that none grows with the data."""
+    sizes = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("nb"))
+    at = rows.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    return at.select("cell", "id", "block", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"))
+
+
+def meet(rows: DataFrame, good: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """(a, b) with a < b: pairs of ids that meet in a cell and are good(overlaps, smaller n, larger n). rows: cell, i, j, block, id, n, keys."""
+
+    def pairs(held: list[tuple], diagonal: bool) -> pa.RecordBatch:
+        block, ids, n = (np.array([h[c] for h in held]) for c in range(3))
+        shared = overlaps([h[3] for h in held])
+        ok = np.triu(good(shared, np.minimum(n[:, None], n[None, :]), np.maximum(n[:, None], n[None, :])), 1)
+        if not diagonal:
+            ok &= block[:, None] != block[None, :]
+        p, q = np.nonzero(ok)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[p], ids[q])), pa.array(np.maximum(ids[p], ids[q]))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        at = None
+        for t in batches:
+            lists = t.column("keys")
+            flat, offs = np.asarray(lists.values), np.asarray(lists.offsets)
+            cell, i, j, block, ids, n = (np.asarray(t.column(c)).tolist() for c in ("cell", "i", "j", "block", "id", "n"))
+            for r in range(t.num_rows):
+                if (cell[r], i[r], j[r]) != at:
+                    if len(held) > 1:
+                        yield pairs(held, at[1] == at[2])
+                    held, at = [], (cell[r], i[r], j[r])
+                held.append((block[r], ids[r], n[r], flat[offs[r] : offs[r + 1]].copy()))
+        if len(held) > 1:
+            yield pairs(held, at[1] == at[2])
+
+    spread = rows.select("cell", "i", "j", "block", "id", "n", "keys").repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "id")
+    return spread.mapInArrow(run, "a long, b long").distinct()

@@ -30,8 +30,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.llm import _text as tx
+from quillspark.llm._cells import meet, placed
 from quillspark.llm._spark import bloom_of, cut, in_bloom, load
-from quillspark.llm.ngram_join import Rarity, prefix, rarity, set_hash
+from quillspark.llm.components import components
+from quillspark.llm.ngram_join import Rarity, prefix, rarity, set_hash, similar_enough
 
 PERCENT, MIN_WORDS = 90, 3
 
@@ -97,27 +99,31 @@ def matches(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent
     entries = _each(source, rare, "word long, sid long, at long", each_word)
     shared = entries.groupBy("word").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo <> hi").select("word")
     found = cut(entries.join(shared, "word").distinct().select("word", "sid", F.shiftright("at", 24).alias("n"), F.col("at").bitwiseAND(2**24 - 1).alias("pos")))
+    prefixes = found.groupBy("sid").agg(F.sort_array(F.collect_list("word")).alias("words"))
+    found = found.join(prefixes, "sid")
     a, b = found.alias("a"), found.alias("b")
     fits = (F.col("a.word") == F.col("b.word")) & (100 * F.col("a.n") >= percent * F.col("b.n")) & ((F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.sid") < F.col("b.sid"))))
-    # At the first shared word, all that can still be shared are the words from there on.
-    reach = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
-    fits &= (100 + percent) * reach >= percent * (F.col("a.n") + F.col("b.n"))
+    # At the first shared word, all that can still be shared are the words from there on; and what is shared lies in both prefixes or behind one of them.
+    least = percent * (F.col("a.n") + F.col("b.n"))
+    fits &= (100 + percent) * F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")) >= least
+    overlap = F.size(F.array_intersect("a.words", "b.words"))
+    fits &= (100 + percent) * F.least(overlap + F.ceil(percent * F.col("b.n") / 100) - 1, F.col("a.n")) >= least
     pairs = cut(a.join(b, fits).select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b")).distinct())
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-
-    def each_set(b: pa.RecordBatch, owner: np.ndarray, place: np.ndarray, sets_: list[np.ndarray], bloom: np.ndarray) -> list[pa.Array]:
-        del b, owner, place
-        known = {set_hash(x): x for x in sets_}
-        sids = np.array(list(known), np.int64)
-        some = np.flatnonzero(in_bloom(bloom, sids)) if len(sids) else []
-        kept = [known[int(sids[i])] for i in some]
-        offs = np.concatenate([[0], np.cumsum([len(x) for x in kept])]).astype(np.int32)
-        return [pa.array(sids[some] if len(kept) else sids[:0]), pa.ListArray.from_arrays(pa.array(offs), pa.array(tx.as_long(np.concatenate(kept)) if kept else sids[:0]))]
-
-    sets_of = _each(source, rare, "sid long, words array<long>", each_set, bloom_of(wanted, F.col("sid"))).join(wanted, "sid").groupBy("sid").agg(F.first("words").alias("words"))
-    sets_of = cut(sets_of)
-    full = pairs.join(sets_of.select(F.col("sid").alias("a"), F.col("words").alias("wa")), "a").join(sets_of.select(F.col("sid").alias("b"), F.col("words").alias("wb")), "b")
-    links = full.filter((100 + percent) * F.size(F.array_intersect("wa", "wb")) >= percent * (F.size("wa") + F.size("wb"))).select("a", "b")
+    # Lines that hang together meet with their whole sets; each is sent once, from its first occurrence.
+    wanted = cut(components(pairs).select(F.col("component").alias("cell"), F.col("node").alias("id")))
+    firsts = wanted.join(classes.select(F.col("sid").alias("id"), "first"), "id")
+    bloom = bloom_of(firsts, F.col("first.key").bitwiseXOR(F.col("first.line") * F.lit(2654435761)))
+
+    def each_set(b: pa.RecordBatch, owner: np.ndarray, place: np.ndarray, sets_: list[np.ndarray], bloom_: np.ndarray) -> list[pa.Array]:
+        own = np.asarray(b.column("key"))[owner] ^ (place * 2654435761)
+        kept = {set_hash(x): x for x in (sets_[i] for i in np.flatnonzero(in_bloom(bloom_, own)))} if len(owner) else {}
+        offs = np.concatenate([[0], np.cumsum([len(x) for x in kept.values()])]).astype(np.int32)
+        flat = tx.as_long(np.concatenate(list(kept.values()))) if kept else np.zeros(0, np.int64)
+        return [pa.array(list(kept), pa.int64()), pa.ListArray.from_arrays(pa.array(offs), pa.array(flat))]
+
+    sent = _each(source, rare, "id long, keys array<long>", each_set, bloom).join(wanted, "id").groupBy("id").agg(F.first("keys").alias("keys"))
+    rows = placed(wanted).join(sent.select("id", F.size("keys").cast("long").alias("n"), "keys"), "id")
+    links = cut(meet(rows, similar_enough(percent)))
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     near = both.join(classes.select(F.col("sid").alias("b"), "first"), "b").groupBy(F.col("a").alias("sid")).agg(F.min("first").alias("near"))
     earliest = classes.join(near, "sid", "left").select("sid", F.least("first", "near").alias("e"))

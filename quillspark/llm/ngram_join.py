@@ -6,9 +6,11 @@ its rarest word, and by hash among equals; two sets that are similar enough shar
 an element of their prefixes. Elements that only one class has in its prefix are
 dropped. Classes with the same size and the same remaining prefix form a group;
 groups that share an element and fit in size are paired at their first shared
-element. The pair's members then meet in the cell of that element, where the whole
-sets are intersected. Cells of more than BLOCK members are cut into blocks that
-meet in pairs, so no task gathers all of a common element.
+element and meet in that element's cell, where the overlap of their prefixes bounds
+what they can share. Groups that are still candidates are expanded: the members of
+those that hang together meet with their whole sets, which decide. Cells of more
+than BLOCK rows are cut into blocks that meet in pairs, so no task gathers all of
+a common element or of a large component.
 
 Sets are compared by 58-bit hashes of windows and classes told apart by a 64-bit
 hash of the set. The words whose count is at least 1 / 2^20 of all words are
@@ -30,10 +32,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import _text as tx
+from quillspark.llm._cells import meet, placed
 from quillspark.llm._spark import bloom_of, cut, in_bloom, load
 from quillspark.llm.components import components
 
-N, BLOCK, COMMON = 3, 256, 20
+N, COMMON = 3, 20
 
 
 class Rarity:
@@ -143,56 +146,19 @@ def _each(docs: DataFrame, text: str, doc_id: str, rare: Rarity, schema: str, em
     return docs.select(docs[doc_id].alias("doc_id"), docs[text].cast("string").alias("t")).mapInArrow(run, schema)
 
 
-def _links(cells: DataFrame, percent: int) -> DataFrame:
-    """(a, b): similar classes, from rows (cell, i, j, block, sid, keys), each cell in one piece and at most 2 * BLOCK members or so."""
+def similar_enough(percent: int):  # noqa: ANN201
+    """Whether overlaps make pairs of sizes similar."""
+    return lambda shared, n, m: (100 + percent) * shared >= percent * (n + m)
 
-    def verify(i: int, j: int, block: np.ndarray, sid: np.ndarray, sets_: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        m, sizes = len(sid), np.array([len(x) for x in sets_])
-        if m == 2:
-            shared = np.array([[0, len(np.intersect1d(sets_[0], sets_[1], assume_unique=True))]] * 2)
-        else:
-            owner = np.repeat(np.arange(m), sizes)
-            u, back, times = np.unique(np.concatenate(sets_), return_inverse=True, return_counts=True)
-            some = times[back] > 1
-            owner, back = owner[some], np.cumsum(times > 1)[back[some]] - 1
-            order = np.argsort(back, kind="stable")
-            owner, back = owner[order], back[order]
-            width, shared, step = int(back[-1]) + 1 if len(back) else 0, np.zeros((m, m), np.float32), 4096
-            for k in range(0, width, step):
-                p, q = np.searchsorted(back, [k, k + step])
-                table = np.zeros((m, min(step, width - k)), np.float32)
-                table[owner[p:q], back[p:q] - k] = 1
-                shared += table @ table.T
-        both = sizes[:, None] + sizes[None, :]
-        good = np.triu((100 + percent) * shared.astype(np.int64) >= percent * both, 1) if m > 2 else (np.triu(np.ones((2, 2), bool), 1) & ((100 + percent) * shared >= percent * both))
-        if i != j:
-            good &= block[:, None] != block[None, :]
-        p, q = np.nonzero(good)
-        yield np.minimum(sid[p], sid[q]), np.maximum(sid[p], sid[q])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []
-        at = None
-
-        def done() -> Iterator[pa.RecordBatch]:
-            if len(held) > 1:
-                for a, b in verify(at[1], at[2], np.array([h[0] for h in held]), np.array([h[1] for h in held]), [h[2] for h in held]):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-        for t in batches:
-            keys = t.column("keys")
-            flat, offs = np.asarray(keys.values).view(np.uint64), np.asarray(keys.offsets)
-            key, i, j, block, sid = (np.asarray(t.column(c)) for c in ("key", "i", "j", "block", "sid"))
-            for r in range(t.num_rows):
-                cell = (key[r], i[r], j[r])
-                if cell != at:
-                    yield from done()
-                    held, at = [], cell
-                held.append((block[r], sid[r], flat[offs[r] : offs[r + 1]].copy()))
-        yield from done()
-
-    spread = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "sid")
-    return spread.mapInArrow(run, "a long, b long").distinct()
+def may_be_similar(percent: int):  # noqa: ANN201
+    """Whether pairs whose prefixes overlap so much can be similar: all else that they share lies behind one of the prefixes."""
+
+    def good(shared: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+        behind = -(-percent * m // 100) - 1
+        return (shared > 0) & (100 * n >= percent * m) & ((100 + percent) * np.minimum(shared + behind, n) >= percent * (n + m))
+
+    return good
 
 
 def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = 70) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -227,13 +193,16 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: i
     fits &= (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.gid") < F.col("b.gid")))
     earlier = F.array_min(F.array_intersect("a.first", "b.first"))
     pairs = a.join(b, fits).filter(F.coalesce(earlier, F.col("a.key")) >= F.col("a.key")).select(F.col("a.key").alias("key"), F.explode(F.array("a.gid", "b.gid")).alias("gid"))
-    alone = groups.filter("members > 1").select(F.element_at("keys", 1).alias("key"), "gid")
-    cells = cut(pairs.unionByName(alone).distinct().join(members, "gid").select("key", "sid").distinct())
-    blocks = cells.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("nb"))
-    placed = cells.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("nb")).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    placed = placed.select("key", "sid", "block", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"))
-    wanted = cells.select("sid").distinct().join(classes.select("sid", "rep"), "sid")
-    links = cut(_links(placed.join(_wanted_sets(docs, text, doc_id, rare, wanted), "sid"), percent))
+    # Groups meet in the cell of that element with their prefixes, of which the overlap says who can be similar.
+    cells = cut(pairs.distinct().withColumnRenamed("key", "cell").withColumnRenamed("gid", "id"))
+    near = cut(meet(placed(cells).join(groups.select(F.col("gid").alias("id"), "n", "keys"), "id"), may_be_similar(percent)))
+    alone = groups.filter((F.col("members") > 1) & ((100 + percent) * F.least(F.size("keys") + F.ceil(percent * F.col("n") / 100) - 1, F.col("n")) >= 2 * percent * F.col("n"))).select(F.col("gid").alias("node"), F.col("gid").alias("component"))
+    linked = components(near)
+    at = linked.unionByName(alone.join(linked.select("node"), "node", "left_anti"))
+    # The members of groups that hang together meet with their whole sets, each sent once.
+    wanted = cut(members.join(at, members.gid == at.node).select(F.col("component").alias("cell"), F.col("sid").alias("id")))
+    full = _wanted_sets(docs, text, doc_id, rare, wanted.join(classes.select(F.col("sid").alias("id"), "rep"), "id").select(F.col("id").alias("sid"), "rep"))
+    links = cut(meet(placed(wanted).join(full.select(F.col("sid").alias("id"), F.size("keys").cast("long").alias("n"), "keys"), "id"), similar_enough(percent)))
     return own, classes, links
 
 
