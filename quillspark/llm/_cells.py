@@ -41,12 +41,11 @@ def placed(rows: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def meet(rows: DataFrame, good: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """(a, b) with a < b: pairs of ids that meet in a cell and are good(overlaps, smaller n, larger n). rows: cell, i, j, block, id, n, keys."""
+    """(a, b) with a < b: pairs of ids that meet in a cell and are good(overlaps, n, last). rows: cell, i, j, block, id, n, last, keys."""
 
     def pairs(held: list[tuple], diagonal: bool) -> pa.RecordBatch:
-        block, ids, n = (np.array([h[c] for h in held]) for c in range(3))
-        shared = overlaps([h[3] for h in held])
-        ok = np.triu(good(shared, np.minimum(n[:, None], n[None, :]), np.maximum(n[:, None], n[None, :])), 1)
+        block, ids, n, last = (np.array([h[c] for h in held]) for c in range(4))
+        ok = np.triu(good(overlaps([h[4] for h in held]), n, last), 1)
         if not diagonal:
             ok &= block[:, None] != block[None, :]
         p, q = np.nonzero(ok)
@@ -58,15 +57,15 @@ def meet(rows: DataFrame, good: Callable[[np.ndarray, np.ndarray, np.ndarray], n
         for t in batches:
             lists = t.column("keys")
             flat, offs = np.asarray(lists.values), np.asarray(lists.offsets)
-            cell, i, j, block, ids, n = (np.asarray(t.column(c)).tolist() for c in ("cell", "i", "j", "block", "id", "n"))
+            cell, i, j, block, ids, n, last = (np.asarray(t.column(c)).tolist() for c in ("cell", "i", "j", "block", "id", "n", "last"))
             for r in range(t.num_rows):
                 if (cell[r], i[r], j[r]) != at:
                     if len(held) > 1:
                         yield pairs(held, at[1] == at[2])
                     held, at = [], (cell[r], i[r], j[r])
-                held.append((block[r], ids[r], n[r], flat[offs[r] : offs[r + 1]].copy()))
+                held.append((block[r], ids[r], n[r], last[r], flat[offs[r] : offs[r + 1]].copy()))
         if len(held) > 1:
             yield pairs(held, at[1] == at[2])
 
-    spread = rows.select("cell", "i", "j", "block", "id", "n", "keys").repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "id")
+    spread = rows.select("cell", "i", "j", "block", "id", "n", "last", "keys").repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "id")
     return spread.mapInArrow(run, "a long, b long").distinct()

@@ -99,16 +99,14 @@ def matches(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent
     entries = _each(source, rare, "word long, sid long, at long", each_word)
     shared = entries.groupBy("word").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo <> hi").select("word")
     found = cut(entries.join(shared, "word").distinct().select("word", "sid", F.shiftright("at", 24).alias("n"), F.col("at").bitwiseAND(2**24 - 1).alias("pos")))
-    prefixes = found.groupBy("sid").agg(F.sort_array(F.collect_list("word")).alias("words"))
-    found = found.join(prefixes, "sid")
     a, b = found.alias("a"), found.alias("b")
     fits = (F.col("a.word") == F.col("b.word")) & (100 * F.col("a.n") >= percent * F.col("b.n")) & ((F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.sid") < F.col("b.sid"))))
     # At the first shared word, all that can still be shared are the words from there on; and what is shared lies in both prefixes or behind one of them.
-    least = percent * (F.col("a.n") + F.col("b.n"))
-    fits &= (100 + percent) * F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")) >= least
-    overlap = F.size(F.array_intersect("a.words", "b.words"))
-    fits &= (100 + percent) * F.least(overlap + F.ceil(percent * F.col("b.n") / 100) - 1, F.col("a.n")) >= least
-    pairs = cut(a.join(b, fits).select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b")).distinct())
+    reach = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
+    shared_words = a.join(b, fits).select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b"), F.struct(F.col("a.word").alias("word"), reach.alias("reach")).alias("w"), F.col("a.n").alias("n"), F.col("b.n").alias("m"))
+    sums = shared_words.groupBy("a", "b", "n", "m").agg(F.count(F.lit(1)).alias("c"), F.min("w").alias("w"))
+    most = F.least(F.col("c") + F.ceil(percent * F.col("m") / 100) - 1, F.col("n"), F.col("w.reach"))
+    pairs = cut(sums.filter((100 + percent) * most >= percent * (F.col("n") + F.col("m"))).select("a", "b"))
     # Lines that hang together meet with their whole sets; each is sent once, from its first occurrence.
     wanted = cut(components(pairs).select(F.col("component").alias("cell"), F.col("node").alias("id")))
     firsts = wanted.join(classes.select(F.col("sid").alias("id"), "first"), "id")
@@ -122,7 +120,7 @@ def matches(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent
         return [pa.array(list(kept), pa.int64()), pa.ListArray.from_arrays(pa.array(offs), pa.array(flat))]
 
     sent = _each(source, rare, "id long, keys array<long>", each_set, bloom).join(wanted, "id").groupBy("id").agg(F.first("keys").alias("keys"))
-    rows = placed(wanted).join(sent.select("id", F.size("keys").cast("long").alias("n"), "keys"), "id")
+    rows = placed(wanted).join(sent.select("id", F.size("keys").cast("long").alias("n"), F.lit(0).cast("long").alias("last"), "keys"), "id")
     links = cut(meet(rows, similar_enough(percent)))
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     near = both.join(classes.select(F.col("sid").alias("b"), "first"), "b").groupBy(F.col("a").alias("sid")).agg(F.min("first").alias("near"))

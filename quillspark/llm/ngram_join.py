@@ -147,16 +147,19 @@ def _each(docs: DataFrame, text: str, doc_id: str, rare: Rarity, schema: str, em
 
 
 def similar_enough(percent: int):  # noqa: ANN201
-    """Whether overlaps make pairs of sizes similar."""
-    return lambda shared, n, m: (100 + percent) * shared >= percent * (n + m)
+    """Whether the overlaps of whole sets make pairs similar."""
+    return lambda shared, n, last: (100 + percent) * shared >= percent * (n[:, None] + n[None, :])
 
 
 def may_be_similar(percent: int):  # noqa: ANN201
-    """Whether pairs whose prefixes overlap so much can be similar: all else that they share lies behind one of the prefixes."""
+    """Whether pairs whose prefixes overlap so much can be similar: what else they share lies behind the prefix that ends first."""
 
-    def good(shared: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
-        behind = -(-percent * m // 100) - 1
-        return (shared > 0) & (100 * n >= percent * m) & ((100 + percent) * np.minimum(shared + behind, n) >= percent * (n + m))
+    def good(shared: np.ndarray, n: np.ndarray, last: np.ndarray) -> np.ndarray:
+        small, large = np.minimum(n[:, None], n[None, :]), np.maximum(n[:, None], n[None, :])
+        behind = -(-percent * n // 100) - 1
+        rest = np.where(last[:, None] < last[None, :], behind[:, None], behind[None, :])
+        rest = np.where(last[:, None] == last[None, :], np.minimum(behind[:, None], behind[None, :]), rest)
+        return (shared > 0) & (100 * small >= percent * large) & ((100 + percent) * np.minimum(shared + rest, small) >= percent * (small + large))
 
     return good
 
@@ -166,10 +169,11 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: i
     rare = rarity(docs, text)
 
     def each_doc(ids: pa.Array, sets_: list[np.ndarray]) -> list[pa.Array]:
-        return [ids.cast(pa.int64()), pa.array([len(x) for x in sets_], pa.int64()), pa.array([set_hash(x) for x in sets_], pa.int64())]
+        last = [int(x[prefix(len(x), percent) - 1]) if len(x) else 0 for x in sets_]
+        return [ids.cast(pa.int64()), pa.array([len(x) for x in sets_], pa.int64()), pa.array([set_hash(x) for x in sets_], pa.int64()), pa.array(last, pa.int64())]
 
-    own = cut(_each(docs, text, doc_id, rare, "doc_id long, n_shingles long, sid long", each_doc))
-    classes = cut(own.filter("n_shingles > 0").groupBy("sid").agg(F.max("n_shingles").alias("n"), F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size")))
+    own = cut(_each(docs, text, doc_id, rare, "doc_id long, n_shingles long, sid long, last long", each_doc))
+    classes = cut(own.filter("n_shingles > 0").groupBy("sid").agg(F.max("n_shingles").alias("n"), F.max("last").alias("last"), F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size")))
 
     def each_key(ids: pa.Array, sets_: list[np.ndarray]) -> list[pa.Array]:
         del ids
@@ -181,11 +185,11 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: i
     entries = _each(docs, text, doc_id, rare, "key long, sid long", each_key)
     shared = entries.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo <> hi").select("key")
     found = cut(entries.join(shared, "key").distinct())
-    prefixes = found.groupBy("sid").agg(F.sort_array(F.collect_set("key")).alias("keys")).join(classes.select("sid", "n"), "sid")
+    prefixes = found.groupBy("sid").agg(F.sort_array(F.collect_set("key")).alias("keys")).join(classes.select("sid", "n", "last"), "sid")
     prefixes = cut(prefixes.withColumn("h", F.xxhash64("keys")))
-    groups = prefixes.groupBy("n", "h").agg(F.min("sid").alias("gid"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("members"))
+    groups = prefixes.groupBy("n", "last", "h").agg(F.min("sid").alias("gid"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("members"))
     groups = cut(groups)
-    members = prefixes.select("sid", "n", "h").join(groups.select("n", "h", "gid"), ["n", "h"]).select("sid", "gid")
+    members = prefixes.select("sid", "n", "last", "h").join(groups.select("n", "last", "h", "gid"), ["n", "last", "h"]).select("sid", "gid")
     # Pairs of groups at their first shared element; the four smallest of each tell most repeats apart at once.
     e = groups.select("gid", "n", F.slice("keys", 1, 4).alias("first"), F.explode("keys").alias("key"))
     a, b = e.alias("a"), e.alias("b")
@@ -195,14 +199,14 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: i
     pairs = a.join(b, fits).filter(F.coalesce(earlier, F.col("a.key")) >= F.col("a.key")).select(F.col("a.key").alias("key"), F.explode(F.array("a.gid", "b.gid")).alias("gid"))
     # Groups meet in the cell of that element with their prefixes, of which the overlap says who can be similar.
     cells = cut(pairs.distinct().withColumnRenamed("key", "cell").withColumnRenamed("gid", "id"))
-    near = cut(meet(placed(cells).join(groups.select(F.col("gid").alias("id"), "n", "keys"), "id"), may_be_similar(percent)))
+    near = cut(meet(placed(cells).join(groups.select(F.col("gid").alias("id"), "n", "last", "keys"), "id"), may_be_similar(percent)))
     alone = groups.filter((F.col("members") > 1) & ((100 + percent) * F.least(F.size("keys") + F.ceil(percent * F.col("n") / 100) - 1, F.col("n")) >= 2 * percent * F.col("n"))).select(F.col("gid").alias("node"), F.col("gid").alias("component"))
     linked = components(near)
     at = linked.unionByName(alone.join(linked.select("node"), "node", "left_anti"))
     # The members of groups that hang together meet with their whole sets, each sent once.
     wanted = cut(members.join(at, members.gid == at.node).select(F.col("component").alias("cell"), F.col("sid").alias("id")))
     full = _wanted_sets(docs, text, doc_id, rare, wanted.join(classes.select(F.col("sid").alias("id"), "rep"), "id").select(F.col("id").alias("sid"), "rep"))
-    links = cut(meet(placed(wanted).join(full.select(F.col("sid").alias("id"), F.size("keys").cast("long").alias("n"), "keys"), "id"), similar_enough(percent)))
+    links = cut(meet(placed(wanted).join(full.select(F.col("sid").alias("id"), F.size("keys").cast("long").alias("n"), F.lit(0).cast("long").alias("last"), "keys"), "id"), similar_enough(percent)))
     return own, classes, links
 
 
