@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,9 +33,26 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and written to the shared folder; its lineage ends there, so a lost executor costs nothing."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """df, computed once and written to the shared folder as a Parquet table; its lineage ends there, so a lost executor costs nothing. The tables go when the driver ends."""
+    spark = df.sparkSession
+    base = f"{shared_folder(spark)}/tables-{spark.sparkContext.applicationId}"
+    if base not in _BASES:
+        _BASES.add(base)
+        atexit.register(_remove, spark, base)
+    at = f"{base}/{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
+
+
+_BASES: set[str] = set()
+
+
+def _remove(spark: SparkSession, at: str) -> None:
+    """Deletes a folder while the session still runs."""
+    sc = spark.sparkContext
+    if sc._jsc is not None:
+        path = sc._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bloom_of(df: DataFrame, hashed: Column) -> np.ndarray:
