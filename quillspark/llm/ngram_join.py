@@ -250,6 +250,17 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the document with the smallest doc_id; documents without words are kept."""
-    kept = similar(docs).filter("component_id = doc_id").select("doc_id")
-    return docs.join(kept.distinct(), "doc_id", "left_semi").select(*docs.columns)
+    """Pipeline stage: of each component the row with the smallest doc_id (nulls last; among equals, the smallest hash of the row); all documents without words are kept.
+
+    Rows are told apart by a 64-bit hash of all their columns, so null and repeated doc_ids count as documents of their own.
+    """
+    worded = docs.filter(F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    wordless = docs.filter(~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    key = F.xxhash64(*(x for c in docs.columns for x in (F.col(c).isNull(), F.col(c))))  # a null alone doesn't change a hash
+    keyed = worded.withColumn("__key", key)
+    own, _, links = join(keyed, doc_id="__key")
+    rows = own.select(F.col("doc_id").alias("__key"), "sid").distinct().join(keyed.select("__key", "doc_id").distinct(), "__key")
+    at = rows.join(components(links), F.col("sid") == F.col("node"), "left").groupBy(F.coalesce("component", "sid"))
+    first = at.agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__key")).alias("first")).select("first.__key")
+    one = keyed.join(first, "__key").dropDuplicates(["__key"])  # rows with one hash are the same in all columns
+    return one.select(*docs.columns).unionByName(wordless)

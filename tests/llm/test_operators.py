@@ -199,3 +199,11 @@ def test_pipeline(spark, docs):
     assert {r.doc_id for r in ngram_join.stage(spark, got, SF).collect()} == ids
     out = corpus_pipeline.run(spark, SF).toPandas()
     assert set(out.doc_id) <= ids and (out.groupby("doc_id").size() <= 3).all()
+
+
+def test_near_duplicates_null_and_repeated_ids(spark):
+    q = " ".join(f"q{i}" for i in range(90))
+    rows = [(None, P, "a"), (None, P, "a"), (None, "a null id of its own", "a"), (None, None, "a"), (None, " ", "a"), (7, q, "a"), (7, q, "a"), (7, q, "b"), (7, "another text under one id", "a"), (3, q + " end", "a"), (9, "", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = collections.Counter((r.doc_id, r.text) for r in ngram_join.stage(spark, df, SF).collect())
+    assert got == collections.Counter([(None, P), (None, "a null id of its own"), (None, None), (None, " "), (7, "another text under one id"), (3, q + " end"), (9, "")])
