@@ -1,6 +1,6 @@
 """Line dedup by an exact set-similarity join.
 
-A line (between \\n) of MIN_WORDS words or more is the set of its words, with a
+A line (between \\n) with at least one word is the set of its words, with a
 class per distinct set. Words are ordered from rare to common over the corpus (by
 hash among equals). Two sets with Jaccard similarity of at least percent / 100
 share a word of their prefixes; that alone gives candidates, of which the length
@@ -12,8 +12,10 @@ Copies of a line are one class, so a line that a third of all documents hold is
 row of the join. Counts that are at least 1 / 2^20 of all words make the order; no
 more than 2^20 words can have them.
 
-Defined results: a null text is an empty one and stays as it is; shorter lines
-always stay; what is left keeps its order, and a text may end up empty, never
+Defined results: a null text is an empty one and stays as it is; lines without
+words always stay. At 90 percent, lines of up to 18 distinct words match only with
+equal sets: one word replaced leaves (k-1)/(k+1) < 0.9. That is what the threshold
+means, not a bound; percent is a parameter for those who want less. What is left keeps its order, and a text may end up empty, never
 dropped. Rows that repeat a doc_id and text are one document. Words are compared
 as they are, by 58-bit hashes, classes by 64-bit ones.
 """
@@ -35,7 +37,7 @@ from quillspark.llm._spark import bloom_of, cut, in_bloom, load
 from quillspark.llm.components import components
 from quillspark.llm.ngram_join import Rarity, prefix, rarity, set_hash, similar_enough
 
-PERCENT, MIN_WORDS = 90, 3
+PERCENT, MIN_WORDS = 90, 1
 
 
 def line_sets(d: np.ndarray, o: np.ndarray, rare: Rarity) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:

@@ -207,3 +207,9 @@ def test_near_duplicates_null_and_repeated_ids(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = collections.Counter((r.doc_id, r.text) for r in ngram_join.stage(spark, df, SF).collect())
     assert got == collections.Counter([(None, P), (None, "a null id of its own"), (None, None), (None, " "), (7, "another text under one id"), (3, q + " end"), (9, "")])
+
+
+def test_line_dedup_short_lines(spark):
+    df = spark.createDataFrame([(1, "Les.\n\nLes.\nTwo words"), (2, "les.\ntwo  words\n \nLes\nwords two three"), (3, "Les.")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.dedup(df).collect()}
+    assert got == {1: "Les.\n\nTwo words", 2: " \nLes\nwords two three", 3: ""}
