@@ -4,13 +4,19 @@ Three rules give the base spans of a text. Their matches are the labelled
 credentials: for each kind a prefix tree of a bounded sample of its strings is
 folded into a probabilistic automaton, merging states whose ending and branching
 frequencies agree within Hoeffding's bound. One more automaton is inferred from
-ordinary long tokens. Every token of MIN_LENGTH or more characters outside the
-base spans is then scored: the log likelihood under the best credential automaton
-less that under the ordinary one, per character. Tokens above a threshold, set
-from the ordinary sample, become spans of kind `format`.
-
-The sample is the bound of the fit: at most SAMPLE distinct strings of a kind,
-those with the smallest hashes over the whole table. All texts are scanned.
+ordinary tokens: a sample of occurrences, so what repeats in prose weighs as it
+does there, less those that are as likely as credentials under a credential
+automaton (the LOW quantile of the labelled ones) and no shorter than all of these. Every token outside the base
+spans, from MIN_LENGTH characters or the shortest labelled credential on, whichever
+is less, is then scored: the log likelihood under the best credential automaton
+less that under the ordinary one, per character. The threshold lies just above the
+ordinary sample, but never above the LOW quantile of the labelled credentials'
+scores, so unlabelled credentials can't lift it. Tokens from it on become spans of
+kind `format`.
+
+The sample is the bound of the fit: at most SAMPLE distinct strings of a kind and
+SAMPLE occurrences of ordinary tokens, those with the smallest hashes over the
+whole table. All texts are scanned.
 
 Defined results: a null or empty text has no spans; repeated rows and extra
 columns change nothing; without any labelled credential there are only base
@@ -31,12 +37,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import _text as tx
-from quillspark.llm._spark import load
+from quillspark.llm._spark import cut, load
 
 KINDS = ["assign", "access", "hex", "format"]
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
-SAMPLE, MIN_LENGTH, ALPHA = 1500, 16, 0.05
+SAMPLE, MIN_LENGTH, ALPHA, LOW = 1500, 16, 0.05, 0.05
 _HEX, _TOKEN = np.zeros(256, bool), np.zeros(256, bool)
 _HEX[list(b"0123456789abcdef")] = True
 _TOKEN[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")] = True
@@ -70,10 +76,10 @@ def base_spans(text: str, hexes: list[tuple[int, int]]) -> list[tuple[int, int,
     return sorted(out)
 
 
-def scan(d: np.ndarray, o: np.ndarray) -> Iterator[tuple[list[tuple[int, int, int, str]], list[tuple[int, int, str]]]]:
-    """For each text its base spans and the other tokens of MIN_LENGTH or more characters that overlap none."""
+def scan(d: np.ndarray, o: np.ndarray, least: int = MIN_LENGTH) -> Iterator[tuple[list[tuple[int, int, int, str]], list[tuple[int, int, str]]]]:
+    """For each text its base spans and the other tokens of `least` or more characters that overlap none."""
     hs, he = runs(d, o, _HEX, 24)
-    ts, te = runs(d, o, _TOKEN, MIN_LENGTH)
+    ts, te = runs(d, o, _TOKEN, least)
     hlo, tlo = np.searchsorted(hs, o), np.searchsorted(ts, o)
     c = np.zeros(len(d) + 1, np.int64)
     np.cumsum((d & 0xC0) != 0x80, out=c[1:])
@@ -184,18 +190,29 @@ class Automaton:
         return total + self.ends[at]
 
 
+def low_quantile(x: list[float]) -> float:
+    """The LOW quantile."""
+    return sorted(x)[int(LOW * (len(x) - 1))]
+
+
 class Grammar:
     """The credential automata, the ordinary one, and the threshold on the score a character."""
 
-    def __init__(self, samples: dict[str, list[str]]):
-        ordinary = samples.get("other", [])
-        self.automata = [Automaton([x.translate(_CLASS) for x in samples[k]]) for k in KINDS[:3] if samples.get(k)]
-        self.ordinary = Automaton([x.translate(_CLASS) for x in ordinary])
+    def __init__(self, samples: dict[str, list[str]], length: int = MIN_LENGTH):
+        labelled = [samples[k] for k in KINDS[:3] if samples.get(k)]
+        self.length = length
+        self.automata = [Automaton([x.translate(_CLASS) for x in own]) for own in labelled]
+        ordinary = [(x, x.translate(_CLASS)) for x in samples.get("other", [])]
+        for a, own in zip(self.automata, labelled, strict=True):  # what is as likely as credentials isn't ordinary
+            least, like = min(map(len, own)), low_quantile([a.score(x.translate(_CLASS)) / len(x) for x in own])
+            ordinary = [(x, c) for x, c in ordinary if len(x) < least or a.score(c) / len(c) < like]
+        self.ordinary = Automaton([c for _, c in ordinary])
         self.kept: dict[str, float] = {}
         self.least = 0.0
         if self.automata:
-            scores = sorted(self.score(x) for x in ordinary)
-            self.least = max(0.25, scores[int(0.999 * (len(scores) - 1))] + 0.05 if scores else 0.25)
+            scores = sorted(self.score(x) for x, _ in ordinary)
+            known = min(low_quantile([self.score(x) for x in own]) for own in labelled)
+            self.least = max(0.25, min(known, scores[int(0.999 * (len(scores) - 1))] + 0.05 if scores else known))
 
     def score(self, token: str) -> float:
         """How much likelier a character of the token is in a credential than in an ordinary token, as a logarithm."""
@@ -211,39 +228,54 @@ class Grammar:
         return bool(self.automata) and self.score(token) >= self.least
 
 
-def learn(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Grammar:
-    """The grammar of the table's own credentials. Each task sends its `sample` smallest hashes of a kind at most."""
+def _smallest(docs: DataFrame, text: str, sample: int, least: int | None) -> DataFrame:
+    """(kind, token, h, shortest): each task's `sample` smallest hashes of a kind at most. Without least, of the labelled kinds, with the shortest token of each; with it, of the occurrences of other tokens of that length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[str, dict[str, int]] = {k: {} for k in [*KINDS[:3], "other"]}
+        best: dict[str, dict[int, str]] = {}
+        shortest: dict[str, int] = {}
 
-        def add(kind: str, token: str) -> None:
-            own = best[kind]
-            own[token] = xxhash.xxh3_64_intdigest(token) >> 1
+        def add(kind: str, token: str, h: int) -> None:
+            own = best.setdefault(kind, {})
+            own[h >> 1] = token
+            shortest[kind] = min(shortest.get(kind, len(token)), len(token))
             if len(own) > 8 * sample:
-                best[kind] = dict(sorted(own.items(), key=lambda x: x[1])[:sample])
+                best[kind] = dict(sorted(own.items())[:sample])
 
         for b in batches:
             d, o = tx.text_buffer(b.column(0))
             for _, _, x, y in tx.chunks(d, o):
-                for found, rest in scan(x, y):
-                    for _, k, _, token in found:
-                        add(KINDS[k], token)
-                    for _, _, token in rest:
-                        add("other", token)
-        rows = [(k, t, h) for k, own in best.items() for t, h in sorted(own.items(), key=lambda x: x[1])[:sample]]
-        cols = list(zip(*rows, strict=True)) or [[], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], names=["kind", "token", "h"])
-
-    found = docs.select(docs[text].cast("string").alias("t")).mapInArrow(run, "kind string, token string, h long").distinct()
-    smallest = [found.filter(F.col("kind") == k).orderBy("h", "token").limit(sample) for k in [*KINDS[:3], "other"]]
-    union = smallest[0]
-    for x in smallest[1:]:
-        union = union.unionByName(x)
+                for k, (found, rest) in enumerate(scan(x, y, least or MIN_LENGTH)):
+                    if least is None:
+                        for _, kind, _, token in found:
+                            add(KINDS[kind], token, xxhash.xxh3_64_intdigest(token))
+                    elif rest:
+                        own = xxhash.xxh3_64_intdigest(x[y[k] : y[k + 1]].tobytes())  # copies of a text count once
+                        for s, _, token in rest:
+                            add("other", token, xxhash.xxh3_64_intdigest(f"{own}:{s}"))
+        rows = [(k, t, h, shortest[k]) for k, own in best.items() for h, t in sorted(own.items())[:sample]]
+        cols = list(zip(*rows, strict=True)) or [[], [], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], names=["kind", "token", "h", "shortest"])
+
+    found = docs.select(docs[text].cast("string").alias("t")).mapInArrow(run, "kind string, token string, h long, shortest long")
+    return cut(found.groupBy("kind", "token", "h").agg(F.min("shortest").alias("shortest")))
+
+
+def learn(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Grammar:
+    """The grammar of the table's own credentials."""
     samples: dict[str, list[str]] = {}
-    for r in union.orderBy("kind", "h", "token").collect():
-        samples.setdefault(r.kind, []).append(r.token)
-    return Grammar(samples)
+
+    def take(found: DataFrame, kind: str) -> None:
+        got = found.filter(F.col("kind") == kind).orderBy("h", "token").limit(sample).collect()
+        if got:
+            samples[kind] = [r.token for r in got]
+
+    labelled = _smallest(docs, text, sample, None)
+    for k in KINDS[:3]:
+        take(labelled, k)
+    length = min(MIN_LENGTH, labelled.agg(F.min("shortest")).first()[0] or MIN_LENGTH)
+    take(_smallest(docs, text, sample, length), "other")
+    return Grammar(samples, length)
 
 
 def find(docs: DataFrame, grammar: Grammar, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -262,7 +294,7 @@ def find(docs: DataFrame, grammar: Grammar, text: str = "text", keep: list[str]
             d, o = tx.text_buffer(b.column("__text"))
             rows = []
             for _, _, x, y in tx.chunks(d, o):
-                for found, rest in scan(x, y):
+                for found, rest in scan(x, y, g.length):
                     base = [(s, k, e) for s, k, e, _ in found]
                     more = [(s, 3, e) for s, e, token in rest if g.secret(token)]
                     write = lambda spans: ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))

@@ -213,3 +213,15 @@ def test_line_dedup_short_lines(spark):
     df = spark.createDataFrame([(1, "Les.\n\nLes.\nTwo words"), (2, "les.\ntwo  words\n \nLes\nwords two three"), (3, "Les.")], "doc_id long, text string")
     got = {r.doc_id: r.text for r in line_dedup.dedup(df).collect()}
     assert got == {1: "Les.\n\nTwo words", 2: " \nLes\nwords two three", 3: ""}
+
+
+def test_secrets_unlabelled_credentials(spark):
+    rng = np.random.default_rng(7)
+    prose = ["internationalisation", "characteristically", "counterrevolutionary", "www.example.com/index"]
+    for size in (20, 12):  # shorter than MIN_LENGTH too
+        made = ["".join(rng.choice(list("ABCDEFGHJKLMNPQRSTUVWXYZghjkmnpqrstuvwxyz23456789"), size)) for _ in range(500)]
+        rows = [(i, f"password = {x} " + " ".join(prose)) for i, x in enumerate(made[:200])] + [(200 + i, f"{prose[i % 4]} {x} {prose[i % 3]}") for i, x in enumerate(made[200:])]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got = secrets.find(df, secrets.learn(df)).toPandas()
+        assert (got[got.doc_id >= 200].n_format >= 1).mean() > 0.9 and got[got.doc_id < 200].n_format.sum() == 0
+        assert got[got.doc_id >= 200].n_format.max() == 1
