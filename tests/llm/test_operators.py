@@ -225,3 +225,14 @@ def test_secrets_unlabelled_credentials(spark):
         got = secrets.find(df, secrets.learn(df)).toPandas()
         assert (got[got.doc_id >= 200].n_format >= 1).mean() > 0.9 and got[got.doc_id < 200].n_format.sum() == 0
         assert got[got.doc_id >= 200].n_format.max() == 1
+
+
+def test_toxicity_walk_reaches_unlabelled_terms():
+    z = np.array([20.0] * 10 + [-5.0] * 10 + [0.0] * 22)  # 10 toxic seeds, 10 clean ones, 20 common terms, two without any label
+    counts = np.zeros((42, 42))
+    counts[:10, :10] = counts[10:20, 10:20] = counts[20:40, 20:40] = 300
+    counts[:20, 20:40] = counts[20:40, :20] = 30
+    counts[40, :10] = counts[:10, 40] = 200
+    counts[41, 10:40] = counts[10:40, 41] = 200
+    p = toxicity.walk(counts, z)
+    assert p[40] > 0.25 and (p[:10] > 0.25).all() and (p[10:40] < 0.25).all() and p[41] < 0.25
