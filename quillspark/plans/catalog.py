@@ -167,6 +167,16 @@ _docs("q_startswith", lambda s: S.startswith(s, "The"), "starts_with({s}, 'The')
 _docs("q_endswith", lambda s: S.endswith(s, "."), "ends_with({s}, '.')")
 _docs("q_findall_record", lambda s: F.array_join(S.findall_record(s, "th[a-z]"), "|"), "array_to_string(regexp_extract_all({s}, 'th[a-z]'), '|')")
 _docs("q_findall", lambda s: S.findall(s, "th[a-z]", 2), ["regexp_extract_all({s}, 'th[a-z]')[1]", "regexp_extract_all({s}, 'th[a-z]')[2]"])
+
+
+def _long(name: str, source: str, key: str, column: str, value: Callable[[Column], Column], sql: str) -> None:
+    """Long form: key, k from 0 and v, a row for each part of each text, so nothing is cut to a width."""
+    _add(name, lambda s, d: table(s, d, source).select(key, F.posexplode(value(F.col(column))).alias("k", "v")), f"SELECT {key}, (i - 1)::INTEGER AS k, m[i] AS v FROM (SELECT {key}, {sql.replace('{s}', column)} AS m FROM {source}), unnest(range(1, len(m) + 1)) AS t(i)")
+
+
+_long("q_findall_long", "documents", "doc_id", "text", lambda s: S.findall_record(s, "th[a-z]"), "regexp_extract_all({s}, 'th[a-z]')")
+_long("q_split_long", "part", "p_partkey", "p_name", lambda s: S.split_record(s, " "), "string_split({s}, ' ')")
+_long("q_rsplit_long", "part", "p_partkey", "p_name", lambda s: F.reverse(S.rsplit_record(s, " ")), "list_reverse(string_split({s}, ' '))")
 _X = "nullif(regexp_extract({s}, '([a-z]+)://([^/]+)', {g}), '')"
 _project("q_extract", "pages", "page_id", "url", lambda s: S.extract(s, "([a-z]+)://([^/]+)"), [_X.replace("{g}", "1"), _X.replace("{g}", "2")])
 _project("q_extract_record", "pages", "page_id", "url", lambda s: F.array_join(S.extract_record(s, "([a-z]+)://([^/]+)"), "|"), f"{_X.replace('{g}', '1')} || '|' || {_X.replace('{g}', '2')}")

@@ -30,3 +30,10 @@ def test_query(spark, name):
     cols = sorted(got.column_names)
     assert cols == sorted(want.column_names)
     assert sorted(map(str, got.select(cols).to_pylist())) == sorted(map(str, want.select(cols).to_pylist()))
+
+
+def test_findall_long_keeps_all_matches(spark):
+    got = catalog.QUERIES["q_findall_long"](spark, SF).groupBy("doc_id").count().toPandas().set_index("doc_id")["count"]
+    texts = spark.read.parquet(f"{SF}/documents.parquet").toPandas().set_index("doc_id").text
+    want = texts.str.count("th[a-z]")
+    assert got.max() > 2 and got.to_dict() == want[want > 0].to_dict()
