@@ -68,6 +68,10 @@ _part("q_hash", C.hash32, None)
 for _n, _f, _p in (("isalnum", S.isalnum, r"\p{L}\p{N}"), ("isalpha", S.isalpha, r"\p{L}"), ("isdigit", S.isdigit, r"\p{Nd}\x{b2}\x{b3}\x{b9}"), ("isdecimal", S.isdecimal, r"\p{Nd}"), ("isnumeric", S.isnumeric, r"\p{N}")):
     _docs(f"q_{_n}", lambda s, f=_f: f(F.substring_index(s, " ", 1)), f"regexp_full_match(string_split({{s}}, ' ')[1], '[{_p}]+')")
 _docs("q_isspace", lambda s: S.isspace(F.substring(s, 5, 1)), r"regexp_full_match(substring({s}, 5, 1), '[\x09-\x0d\x1c-\x20\x{85}\x{a0}]+')")
+# The whole text, and how many of its tokens (characters, for isspace) hold; q_isalnum to q_isspace above look at one token of it.
+for _n, _f, _p in (("isalnum", S.isalnum, r"\p{L}\p{N}"), ("isalpha", S.isalpha, r"\p{L}"), ("isdigit", S.isdigit, r"\p{Nd}\x{b2}\x{b3}\x{b9}"), ("isdecimal", S.isdecimal, r"\p{Nd}"), ("isnumeric", S.isnumeric, r"\p{N}"), ("isspace", S.isspace, r"\x09-\x0d\x1c-\x20\x{85}\x{a0}")):
+    _by = "" if _n == "isspace" else " "
+    _docs(f"q_{_n}_whole", lambda s, f=_f, by=_by: [f(s), F.size(F.filter(F.split(s, by), f))], [f"regexp_full_match({{s}}, '[{_p}]+')", f"len(list_filter(string_split({{s}}, '{_by}'), lambda x: regexp_full_match(x, '[{_p}]+')))::INTEGER"])
 _docs("q_islower", S.islower, r"{s} <> '' AND NOT regexp_matches({s}, '\p{Lu}|\p{Lt}|\p{Lm}|\p{Lo}')")
 _docs("q_isupper", S.isupper, r"{s} <> '' AND NOT regexp_matches({s}, '\p{Ll}|\p{Lt}|\p{Lm}|\p{Lo}')")
 _add("q_null_count", lambda s, d: table(s, d, "documents").agg(F.count_if(S.is_null(F.nullif("text", F.lit("That it.")), True)).alias("n")), "SELECT count_if(nullif(text, 'That it.') IS NULL OR text = '')::BIGINT AS n FROM documents")
