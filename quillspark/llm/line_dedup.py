@@ -1,66 +1,137 @@
 """Line dedup by an exact set-similarity join.
 
-A line (between \\n) with at least one word is the set of its words, with a
-class per distinct set. Words are ordered from rare to common over the corpus (by
-hash among equals). Two sets with Jaccard similarity of at least percent / 100
-share a word of their prefixes; that alone gives candidates, of which the length
-filter and, at each shared word, the positional filter leave few, and the whole
-sets decide. A line goes when a line that is similar or the same comes earlier,
-by (doc_id, place in the text).
+A line (between \\n) with at least one word is the set of its words in lower case
+(A-Z), with a class per distinct set. Words are ordered from rare to common over the
+corpus, and by hash among equals. Two sets with Jaccard similarity of at least
+percent / 100 share a word of their prefixes, which gives candidates. The length
+filter, the positional filter and the parities of 64 buckets of words, which differ in
+no more places than the sets do, leave few of them, and the whole sets decide. A line
+goes when a line that is similar or the same comes earlier, by (doc_id, place in the
+text).
 
 Copies of a line are one class, so a line that a third of all documents hold is one
-row of the join. Counts that are at least 1 / 2^20 of all words make the order; no
-more than 2^20 words can have them.
-
-Defined results: a null text is an empty one and stays as it is; lines without
-words always stay. At 90 percent, lines of up to 18 distinct words match only with
-equal sets: one word replaced leaves (k-1)/(k+1) < 0.9. That is what the threshold
-means, not a bound; percent is a parameter for those who want less. What is left keeps its order, and a text may end up empty, never
-dropped. Rows that repeat a doc_id and text are one document. Words are compared
-as they are, by 58-bit hashes, classes by 64-bit ones.
+row of the join. A word of HEAVY or more occurrences stands in the join together with
+the next words of the prefix, made one longer: sets that share it first share a second
+one there too. So no hot word brings all its lines together. Sets that are too
+small to be similar to any but their equals don't enter the join.
+
+Defined results: a null text is an empty one and stays as it is; lines without words
+always stay; null doc_ids come first. At 90 percent, lines of up to 8 distinct words
+match only equal sets, and up to 18 an equal set or one with a word more or less: one
+word replaced leaves (k-1)/(k+1) < 0.9. That is what the threshold means; percent is a
+parameter. What is left keeps its order, and a text may end up empty, never dropped.
+Of rows that repeat a doc_id and text, the one with the smallest hash of all columns
+comes first and all lines with words go from the others. Sets are compared by 64-bit
+hashes of words within a pair, classes told apart by 128 bits. Columns may have any
+names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quillspark.llm import _text as tx
-from quillspark.llm._cells import meet, placed
-from quillspark.llm._spark import bloom_of, cut, in_bloom, load
-from quillspark.llm.components import components
-from quillspark.llm.ngram_join import Rarity, prefix, rarity, set_hash, similar_enough
+from quillspark.llm._rarity import Rarity, class_of, rarity
+from quillspark.llm._spark import Hidden, bloom_of, cut, in_bloom, load, text_of
+from quillspark.llm._verify import cells, verify
+from quillspark.llm.ngram_join import prefix, similar_enough
 
-PERCENT, MIN_WORDS = 90, 1
+PERCENT, HEAVY = 90, 1024
+ID = ["doc_id", "key"]
 
 
-def line_sets(d: np.ndarray, o: np.ndarray, rare: Rarity) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Text, place in it, and the set from rare to common, of each line with MIN_WORDS words or more."""
+def line_sets(d: np.ndarray, o: np.ndarray, rare: Rarity) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each line with a word: text and place in it; then the lines' sets from rare to common, as bounds and elements."""
     low = tx.LOWER[d]
-    s, e, _ = tx.words(low, o)
-    h = tx.span_hash(tx.prefix_hash(low), s, e)
-    key = (rare(h) << tx.U(58)) | (h >> tx.U(6))
-    ends = np.sort(np.concatenate([np.flatnonzero(d == 10), o[1:]]), kind="stable")
+    s, e, lo = tx.words(low, o)
+    h = tx.span_hash(low, s, e)
+    key = (rare(h).astype(np.uint64) << tx.U(56)) | (h >> tx.U(8))
+    line = np.searchsorted(np.flatnonzero(d == 10), s) + tx.owners(lo)  # each text begins a line
+    own, first, keys = tx.ordered_sets(line, key)
     llo = np.concatenate([[0], np.cumsum(tx.sums(d == 10, o) + 1)])
-    starts = np.zeros(len(ends), np.int64)
-    starts[1:] = ends[:-1] + 1
-    starts[llo[:-1]] = o[:-1]
-    owner = tx.owners(llo)
-    place = np.arange(len(ends)) - llo[owner]
-    p, q = np.searchsorted(s, starts), np.searchsorted(s, ends)
-    some = np.flatnonzero(q - p >= MIN_WORDS)
-    return owner[some], place[some], [np.unique(key[p[i] : q[i]]) for i in some]
+    text = np.searchsorted(llo, own, "right") - 1
+    return text, own - llo[text], first, keys
+
+
+def least_size(percent: int) -> int:
+    """The smallest set that can be similar to one that isn't its equal."""
+    return -(-percent // (100 - percent)) if percent < 100 else 1 << 40
+
+
+def blocking_keys(first: np.ndarray, key: np.ndarray, percent: int, heavy: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Set, join key and place of the first word of each key, for the sets of line_sets. heavy: the class of rarity from which a word needs a second one."""
+    n = np.diff(first)
+    p = np.where(n >= least_size(percent), prefix(n, percent), 0)
+    owner = np.repeat(np.arange(len(n)), p)
+    pos = np.arange(p.sum()) - np.repeat(np.cumsum(p) - p, p)
+    at = first[:-1][owner] + pos
+    hot = (key[at] >> tx.U(56)) >= heavy
+    out = [(owner[~hot], tx.mix(key[at[~hot]]), pos[~hot])]
+    owner, at, pos, k = owner[hot], at[hot], pos[hot], 1
+    while len(at):
+        some = pos + k <= np.minimum(p, n - 1)[owner]
+        owner, at, pos = owner[some], at[some], pos[some]
+        out.append((owner, tx.mix(tx.mix(key[at]) + key[at + k]), pos))
+        k += 1
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))  # type: ignore[return-value]
+
+
+def candidates(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """From rows (words, s0, n, bits, pos) by words, n and s0: pairs (a, b, n, m) of sets with a common key that pass the filters, each once a block. Keys whose rows aren't complete wait for the next batch."""
+    held: list[np.ndarray] = []
+    rows = 0
+
+    def block(cols: list[np.ndarray]) -> pa.RecordBatch:
+        word, s0, n, bits, pos = cols
+        fresh = np.ones(len(word), bool)
+        fresh[1:] = (word[1:] != word[:-1]) | (s0[1:] != s0[:-1])  # copies of a line
+        word, s0, n, bits, pos = (x[fresh] for x in (word, s0, n, bits, pos))
+        last = np.searchsorted(word, word, "right") - 1
+        i, out = np.arange(len(word)), []
+        k = 1
+        while len(i := i[i + k <= last[i]]):
+            j = i + k
+            fits = 100 * n[i] >= percent * n[j]  # larger sets follow
+            i, j = i[fits], j[fits]
+            total = n[i] + n[j]
+            # At the first shared word, all that can still be shared are the words from there on; and the sets differ in at least as many words as their parities do in places.
+            ok = (100 + percent) * np.minimum(n[i] - pos[i], n[j] - pos[j]) >= percent * total
+            ok &= (100 + percent) * (total - np.bitwise_count((bits[i] ^ bits[j]).view(np.uint64))) >= 2 * percent * total
+            out.append(np.stack([i[ok], j[ok]]))
+            k += 1
+        p, q = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+        swap = (n[p] == n[q]) & (s0[p] > s0[q])
+        p, q = np.where(swap, q, p), np.where(swap, p, q)
+        order = np.lexsort((s0[q], s0[p]))
+        p, q = p[order], q[order]
+        once = np.ones(len(p), bool)
+        once[1:] = (s0[p[1:]] != s0[p[:-1]]) | (s0[q[1:]] != s0[q[:-1]])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (s0[p[once]], s0[q[once]], n[p[once]], n[q[once]])], names=["a", "b", "n", "m"])
+
+    for b in batches:
+        cols = [np.asarray(c) for c in b.columns]
+        if rows > 200_000 and len(cols[0]):
+            end = int(np.searchsorted(cols[0], held[-1][0][-1], "right"))
+            if end < len(cols[0]):
+                yield block([np.concatenate([*(h[c] for h in held), cols[c][:end]]) for c in range(5)])
+                held, rows, cols = [], 0, [c[end:] for c in cols]
+        if len(cols[0]):
+            held.append(cols)
+            rows += len(cols[0])
+    if held:
+        yield block([np.concatenate([h[c] for h in held]) for c in range(5)])
 
 
 def _each(source: DataFrame, rare: Rarity, schema: str, emit, extra=None) -> DataFrame:  # noqa: ANN001
     names = [x.split()[0] for x in schema.split(", ") if " " in x]
-    state = source.sparkSession.sparkContext.broadcast((rare, extra))
+    state = source.sparkSession.sparkContext.broadcast((rare, extra))  # 4 MB, and a Bloom filter of at most 32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare_, extra_ = state.value
@@ -72,89 +143,104 @@ def _each(source: DataFrame, rare: Rarity, schema: str, emit, extra=None) -> Dat
     return source.mapInArrow(run, schema)
 
 
-def _texts(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    t = F.coalesce(docs[text].cast("string"), F.lit(""))
-    return docs.select(docs[doc_id].cast("long").alias("doc_id"), F.xxhash64(docs[doc_id], t).alias("key"), t.alias("t"))
-
-
-def matches(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT) -> DataFrame:
-    """(key, line): the lines that an earlier one matches; key is the hash of doc_id and text."""
-    rare, source = rarity(docs, text), _texts(docs, text, doc_id)
-
-    def each_line(b: pa.RecordBatch, owner: np.ndarray, place: np.ndarray, sets_: list[np.ndarray], _: object) -> list[pa.Array]:
-        own = pa.array(owner)
-        return [b.column("doc_id").take(own), b.column("key").take(own), pa.array(place, pa.int64()), pa.array([set_hash(x) for x in sets_], pa.int64())]
-
-    lines = cut(_each(source, rare, "doc_id long, key long, line long, sid long", each_line))
-    first = F.min(F.struct("doc_id", "key", "line")).alias("first")
-    classes = cut(lines.groupBy("sid").agg(first))
-
-    def each_word(b: pa.RecordBatch, owner: np.ndarray, place: np.ndarray, sets_: list[np.ndarray], _: object) -> list[pa.Array]:
-        del b, owner, place
-        known = {set_hash(x): x for x in sets_}
-        sizes = np.array([len(x) for x in known.values()], np.int64)
-        m = np.array([prefix(n, percent) for n in sizes.tolist()], np.int64)
-        words = np.concatenate([x[:k] for x, k in zip(known.values(), m, strict=True)]) if known else np.zeros(0, np.uint64)
-        pos = np.arange(len(words)) - np.repeat(np.concatenate([[0], np.cumsum(m)[:-1]]) if len(m) else m, m)
-        return [pa.array(tx.as_long(words)), pa.array(np.repeat(np.array(list(known), np.int64), m)), pa.array(np.repeat(sizes, m) * 2**24 + np.minimum(pos, 2**24 - 1))]
-
-    entries = _each(source, rare, "word long, sid long, at long", each_word)
-    shared = entries.groupBy("word").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo <> hi").select("word")
-    found = cut(entries.join(shared, "word").distinct().select("word", "sid", F.shiftright("at", 24).alias("n"), F.col("at").bitwiseAND(2**24 - 1).alias("pos")))
-    a, b = found.alias("a"), found.alias("b")
-    fits = (F.col("a.word") == F.col("b.word")) & (100 * F.col("a.n") >= percent * F.col("b.n")) & ((F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.sid") < F.col("b.sid"))))
-    # At the first shared word, all that can still be shared are the words from there on; and what is shared lies in both prefixes or behind one of them.
-    reach = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
-    shared_words = a.join(b, fits).select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b"), F.struct(F.col("a.word").alias("word"), reach.alias("reach")).alias("w"), F.col("a.n").alias("n"), F.col("b.n").alias("m"))
-    sums = shared_words.groupBy("a", "b", "n", "m").agg(F.count(F.lit(1)).alias("c"), F.min("w").alias("w"))
-    most = F.least(F.col("c") + F.ceil(percent * F.col("m") / 100) - 1, F.col("n"), F.col("w.reach"))
-    pairs = cut(sums.filter((100 + percent) * most >= percent * (F.col("n") + F.col("m"))).select("a", "b"))
-    # Lines that hang together meet with their whole sets; each is sent once, from its first occurrence.
-    wanted = cut(components(pairs).select(F.col("component").alias("cell"), F.col("node").alias("id")))
-    firsts = wanted.join(classes.select(F.col("sid").alias("id"), "first"), "id")
-    bloom = bloom_of(firsts, F.col("first.key").bitwiseXOR(F.col("first.line") * F.lit(2654435761)))
-
-    def each_set(b: pa.RecordBatch, owner: np.ndarray, place: np.ndarray, sets_: list[np.ndarray], bloom_: np.ndarray) -> list[pa.Array]:
-        own = np.asarray(b.column("key"))[owner] ^ (place * 2654435761)
-        kept = {set_hash(x): x for x in (sets_[i] for i in np.flatnonzero(in_bloom(bloom_, own)))} if len(owner) else {}
-        offs = np.concatenate([[0], np.cumsum([len(x) for x in kept.values()])]).astype(np.int32)
-        flat = tx.as_long(np.concatenate(list(kept.values()))) if kept else np.zeros(0, np.int64)
-        return [pa.array(list(kept), pa.int64()), pa.ListArray.from_arrays(pa.array(offs), pa.array(flat))]
-
-    sent = _each(source, rare, "id long, keys array<long>", each_set, bloom).join(wanted, "id").groupBy("id").agg(F.first("keys").alias("keys"))
-    rows = placed(wanted).join(sent.select("id", F.size("keys").cast("long").alias("n"), F.lit(0).cast("long").alias("last"), "keys"), "id")
-    links = cut(meet(rows, similar_enough(percent)))
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = both.join(classes.select(F.col("sid").alias("b"), "first"), "b").groupBy(F.col("a").alias("sid")).agg(F.min("first").alias("near"))
-    earliest = classes.join(near, "sid", "left").select("sid", F.least("first", "near").alias("e"))
-    return lines.join(earliest, "sid").filter(F.struct("doc_id", "key", "line") > F.col("e")).select("key", "line")
+def _lists(first: np.ndarray, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), values)
+
+
+def matches(source: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, key, line): the lines of (doc_id, key, t) that an earlier one matches; key is a hash of doc_id and text."""
+    rare = rarity(source.select("t"))
+    heavy = class_of(HEAVY) if percent >= 67 else 256  # below that, two sets may be similar with one shared word
+
+    def each_line(b: pa.RecordBatch, text: np.ndarray, place: np.ndarray, first: np.ndarray, key: np.ndarray, _: object) -> list[pa.Array]:
+        s0, s1 = tx.set_hashes(first, key)
+        n, own = np.diff(first), pa.array(text)
+        bits = np.bitwise_xor.reduceat(tx.U(1) << (key & tx.U(63)), first[:-1]) if len(n) else key
+        once = np.zeros(len(n), bool)
+        once[np.unique(s0, return_index=True)[1]] = True  # copies in a chunk send their keys once
+        owner, word, pos = blocking_keys(first, key, percent, heavy)
+        sent = once[owner]
+        owner, word, pos = owner[sent], word[sent], pos[sent]
+        order = np.argsort(owner, kind="stable")
+        bounds = np.searchsorted(owner[order], np.arange(len(n) + 1))
+        cols = [b.column("doc_id").take(own), b.column("key").take(own), pa.array(place), pa.array(tx.as_long(s0)), pa.array(tx.as_long(s1)), pa.array(n), pa.array(tx.as_long(bits))]
+        return [*cols, _lists(bounds, pa.array(tx.as_long(word[order]))), _lists(bounds, pa.array(pos[order].astype(np.int32)))]
+
+    lines = cut(_each(source, rare, "doc_id long, key long, line long, s0 long, s1 long, n long, bits long, words array<long>, pos array<int>", each_line))
+    # One exchange brings the sets of a key together, by size.
+    entries = lines.filter(F.size("words") > 0).select("s0", "n", "bits", F.inline(F.arrays_zip("words", "pos"))).repartition("words").sortWithinPartitions("words", "n", "s0")
+    found = entries.select("words", "s0", "n", "bits", "pos").mapInArrow(lambda x: candidates(x, percent), "a long, b long, n long, m long")
+    pairs = cut(found.distinct())
+    # Their sets come from the texts again, with the first occurrence of each.
+    ends = cut(pairs.select(F.col("a").alias("s0"), "n").unionByName(pairs.select(F.col("b").alias("s0"), F.col("m").alias("n"))).distinct())
+    met, placed = cells(pairs.select("a", "b"), ends.select(F.col("s0").alias("gid"), "s0", F.lit(0).cast("long").alias("s1"), "n"))
+    met, placed = cut(met), cut(placed.drop("s1"))
+
+    def each_set(b: pa.RecordBatch, text: np.ndarray, place: np.ndarray, first: np.ndarray, key: np.ndarray, bloom: np.ndarray) -> list[pa.Array]:
+        s0, s1 = map(tx.as_long, tx.set_hashes(first, key))
+        some = np.flatnonzero(in_bloom(bloom, s0))
+        once = np.zeros(len(s0), bool)
+        once[some[np.unique(s0[some], return_index=True)[1]]] = True  # copies in a chunk send their set once
+        own, offs = pa.array(text[some]), np.concatenate([[0], np.cumsum(np.where(once, np.diff(first), 0)[some])])
+        flat = key[np.repeat(once & in_bloom(bloom, s0), np.diff(first))]
+        return [b.column("doc_id").take(own), b.column("key").take(own), pa.array(place[some]), pa.array(s0[some]), pa.array(s1[some]), _lists(offs, pa.array(tx.as_long(flat)))]
+
+    sent = _each(source, rare, "doc_id long, key long, line long, s0 long, s1 long, keys array<long>", each_set, bloom_of(ends, F.col("s0"))).join(ends.select("s0"), "s0")
+    sets_ = cut(sent.groupBy("s0", "s1").agg(F.min(F.struct(*ID, "line")).alias("first"), F.max("keys").alias("keys")))
+    links = cut(verify(met, placed.join(sets_.select("s0", "s1", "keys"), "s0"), similar_enough(percent)))
+    both = links.unionByName(links.select(F.col("b0").alias("a0"), F.col("b1").alias("a1"), F.col("a0").alias("b0"), F.col("a1").alias("b1")))
+    near = both.join(sets_.select(F.col("s0").alias("b0"), F.col("s1").alias("b1"), "first"), ["b0", "b1"]).groupBy(F.col("a0").alias("s0"), F.col("a1").alias("s1")).agg(F.min("first").alias("near"))
+    firsts = lines.groupBy("s0", "s1").agg(F.min(F.struct(*ID, "line")).alias("first"))
+    earliest = firsts.join(near, ["s0", "s1"], "left").select("s0", "s1", F.least("first", "near").alias("e"))
+    return lines.select(*ID, "line", "s0", "s1").join(earliest, ["s0", "s1"]).filter(F.struct(*ID, "line") > F.col("e")).select(*ID, "line")
+
+
+def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (columns that pass, t, gone, again): the texts without the lines `gone`, or without all that have words where the row repeats another; lines and those removed."""
+    for b in batches:
+        kept, t, gone, again = b.num_columns - 3, b.column("t"), b.column("gone"), b.column("again")
+        has = pc.greater(pc.fill_null(pc.binary_length(t), 0), 0)
+        touched = pc.and_(has, pc.or_(pc.is_valid(gone), again))
+        n_lines = np.asarray(pc.fill_null(pc.add(pc.count_substring(t, "\n"), pc.cast(has, pa.int32())), 0)).astype(np.int64)
+        removed, left = np.zeros(b.num_rows, np.int64), []
+        at = np.flatnonzero(np.asarray(touched))
+        for i, x, g, r in zip(at.tolist(), *(c.filter(touched).to_pylist() for c in (t, gone, again)), strict=True):
+            parts, drop = x.split("\n"), set(g or ())
+            some = [p for k, p in enumerate(parts) if k not in drop and not (r and p.strip("\t\n\v\f\r "))]
+            removed[i] = len(parts) - len(some)
+            left.append("\n".join(some))
+        new = pc.replace_with_mask(t, touched, pa.array(left, t.type))
+        yield pa.RecordBatch.from_arrays([*b.columns[:kept], new, pa.array(n_lines), pa.array(removed)], names=[*b.schema.names[:kept], "t", "n_lines", "n_removed_lines"])
+
+
+def _dedup(own: Hidden, text: str, doc_id: str, percent: int) -> DataFrame:
+    """The kept columns of own, then t, n_lines and n_removed_lines."""
+    t = text_of(own.of(text))
+    source = own.df.withColumns({"doc_id": F.col(own.of(doc_id)).cast("long"), "t": t}).withColumns({"key": F.xxhash64("doc_id", F.coalesce("t", F.lit(""))), "id": F.coalesce("doc_id", F.lit(0))})
+    gone = matches(source.select(*ID, F.coalesce("t", F.lit("")).alias("t")), percent)
+    gone = cut(gone.groupBy(*ID).agg(F.collect_set("line").alias("gone")))  # so that the exchanges before it are gone when texts are sent
+    joined = source.alias("d").join(gone.select("key", F.coalesce("doc_id", F.lit(0)).alias("id"), "gone").alias("g"), ["key", "id"], "left")  # keys of null ids differ from those of 0
+    # Rows with one doc_id and text: the exchange of the join has brought them together.
+    row = F.xxhash64(*(x for c in own.df.columns for x in (F.col(f"d.{c}").isNull(), F.col(f"d.{c}"))))
+    number = F.row_number().over(W.partitionBy("key", "id").orderBy(row))
+    out = joined.select(*(F.col(f"d.{c}") for c in own.kept), F.col("d.t").alias("t"), F.col("g.gone").alias("gone"), (number > 1).alias("again"))
+    schema = out.drop("gone", "again").schema.add("n_lines", "long").add("n_removed_lines", "long")
+    return out.mapInArrow(_removed, schema)
 
 
 def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT) -> DataFrame:
     """docs with its text less the lines that match earlier ones; n_chars, where there is one, is the new length in characters. Adds n_lines and n_removed_lines, in place of columns so named."""
-    names = ["n_lines", "n_removed_lines"]
-    cols = [c for c in docs.columns if c not in (*names, text)]
-    gone = matches(docs, text, doc_id, percent).groupBy("key").agg(F.collect_set("line").alias("gone"))
-    t = F.coalesce(docs[text].cast("string"), F.lit(""))
-    source = docs.select(*(docs[c] for c in cols), docs[text].cast("string").alias("__t"), F.xxhash64(docs[doc_id], t).alias("__key"))
-    joined = source.join(gone, F.col("__key") == F.col("key"), "left").select(*cols, "__t", "gone")
-    schema = T.StructType([*joined.select(*cols).schema.fields, T.StructField(text, T.StringType()), *(T.StructField(n, T.LongType()) for n in names)])
+    own = Hidden(docs, ["n_lines", "n_removed_lines"])
+    return own.back(_with_text(own, _dedup(own, text, doc_id, percent), text))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts, gone_ = b.column("__t").to_pylist(), b.column("gone").to_pylist()
-            out = []
-            for x, g in zip(texts, gone_, strict=True):
-                parts = x.split("\n") if x else []
-                drop = set(g or ())
-                out.append((x if not drop else "\n".join(p for i, p in enumerate(parts) if i not in drop), len(parts), len(drop)))
-            new = list(zip(*out, strict=True)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in cols), *(pa.array(c, k) for c, k in zip(new, (pa.string(), pa.int64(), pa.int64()), strict=True))], names=[*cols, text, *names])
 
-    out = joined.mapInArrow(run, schema)
-    if "n_chars" in docs.columns and text != "n_chars":
-        out = out.withColumn("n_chars", F.when(F.col("n_removed_lines") > 0, F.char_length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*(c for c in docs.columns if c not in names), *names)
+def _with_text(own: Hidden, out: DataFrame, text: str) -> DataFrame:
+    """out with the new text, and its length, in the places of the old ones."""
+    changed = {own.of(text): F.col("t").cast(own.df.schema[own.of(text)].dataType)}
+    if "n_chars" in own.names and text != "n_chars":
+        c = own.of("n_chars")
+        changed[c] = F.when(F.col("n_removed_lines") > 0, F.char_length("t").cast(own.df.schema[c].dataType)).otherwise(F.col(c))
+    return out.withColumns(changed)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,7 +250,8 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: all documents without their repeated lines."""
-    own = {c: f"__own_{c}" for c in ("n_lines", "n_removed_lines") if c in docs.columns}
-    out = dedup(docs.select(*(F.col(c).alias(own.get(c, c)) for c in docs.columns)))
-    return out.select(*(F.col(own.get(c, c)).alias(c) for c in docs.columns))
+    """Pipeline stage: all documents without their repeated lines, less those of which no word is left though they had some. Null, empty and wordless texts stay; columns may have any names."""
+    own = Hidden(docs)
+    out = _with_text(own, _dedup(own, "text", "doc_id", PERCENT), "text")
+    emptied = (F.col("n_removed_lines") > 0) & ~F.col("t").rlike(r"[^\x20\x09-\x0D]")
+    return own.back(out.filter(~F.coalesce(emptied, F.lit(False))))
