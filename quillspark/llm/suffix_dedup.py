@@ -10,13 +10,14 @@ pieces there are suffix-sorted together in two stages: suffixes that are smaller
 than their successors are sorted directly, all others are induced by one scan of
 the buckets; common prefixes of neighbours then tell which windows are repeated.
 An anchor with more than HOT different pieces isn't gathered: its pieces' windows
-are counted by hash instead, which combines before the shuffle.
-
-Equality of pieces is by 64-bit hashes, that of windows by their bytes (hot
-anchors: by hash). Defined results: a null text is an empty one; texts shorter
-than LENGTH lose nothing; matches never cross texts; a row that repeats another
-in doc_id and text is the same document, so it isn't a repetition. Extra columns
-pass through.
+are counted by 128 bits of hash instead, which combines before the shuffle.
+
+Equality of pieces is by 64-bit hashes among those of one anchor, that of windows by
+their bytes (hot anchors: by the 128 bits). Defined results: a null text is an empty
+one; texts shorter than LENGTH lose nothing; matches never cross texts; rows that
+repeat one another in doc_id and text repeat all their strings, so from LENGTH bytes
+on they lose everything. Extra columns pass through, whatever their names. LENGTH may
+be K to 65,000.
 """
 
 from __future__ import annotations
@@ -27,11 +28,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.llm import _text as tx
-from quillspark.llm._spark import cut, load
+from quillspark.llm._spark import Hidden, cut, load, text_of
 
 LENGTH, K, HOT, SLICE, BATCH = 200, 32, 20_000, 1 << 21, 4_000_000
 _PLACE = tx.U((1 << 30) - 1)
@@ -45,7 +47,7 @@ def pieces(d: np.ndarray, o: np.ndarray, length: int = LENGTH, k: int = K) -> tu
         return empty.view(np.uint64), empty.view(np.uint64), empty, empty, empty
     h = tx.prefix_hash(d)
     at = np.arange(len(d) - k + 1)
-    hk = tx.span_hash(h, at, at + k)
+    hk = tx.rolled(h, at, at + k)
     value = np.full(-(-len(hk) // w) * w + w, np.uint64(2**64 - 1))
     value[: len(hk)] = (hk & ~_PLACE) | at.astype(np.uint64)
     table = value.reshape(-1, w)
@@ -57,7 +59,7 @@ def pieces(d: np.ndarray, o: np.ndarray, length: int = LENGTH, k: int = K) -> tu
     edge = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
     n = np.diff(np.concatenate([edge, [len(first)]]))
     lo, p = first[edge], anchor[edge]
-    whole = tx.mix(tx.span_hash(h, lo, lo + n - 1 + length) + (p - lo).astype(np.uint64))
+    whole = tx.mix(tx.span_hash(d, lo, lo + n - 1 + length) + (p - lo).astype(np.uint64))
     owner = np.searchsorted(o, lo, "right") - 1
     return hk[p], whole, owner, lo - o[owner], n
 
@@ -154,13 +156,8 @@ def repeated(b: np.ndarray, start: np.ndarray, size: np.ndarray, last: np.ndarra
     return np.sort(order[hit])
 
 
-def _keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    t = F.coalesce(docs[text].cast("string"), F.lit(""))
-    return docs.select(F.xxhash64(docs[doc_id], t).alias("key"), t.alias("t"))
-
-
 def _anchors(source: DataFrame, length: int) -> DataFrame:
-    """(h, whole, key, place): place is the first window's start * 256 + windows - 1."""
+    """(h, whole, key, place): place is the first window's start * 2^16 + windows - 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -168,7 +165,7 @@ def _anchors(source: DataFrame, length: int) -> DataFrame:
             keys = np.asarray(b.column(0))
             for i, at, x, y in sliced(d, o, length):
                 h, whole, owner, lo, n = pieces(x, y, length)
-                yield pa.RecordBatch.from_arrays([pa.array(tx.as_long(h)), pa.array(tx.as_long(whole)), pa.array(keys[i + owner]), pa.array((lo + at) * 256 + n - 1)], names=["h", "whole", "key", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(tx.as_long(h)), pa.array(tx.as_long(whole)), pa.array(keys[i + owner]), pa.array(((lo + at) << 16) + n - 1)], names=["h", "whole", "key", "place"])
 
     return source.mapInArrow(run, "h long, whole long, key long, place long")
 
@@ -186,7 +183,7 @@ def _bring(joined: DataFrame, length: int) -> DataFrame:
                 x = d[o[r] : o[r + 1]]
                 ups = np.flatnonzero(smaller(x, np.array([len(x)])))
                 for q in range(offs[r], offs[r + 1]):
-                    lo, n = int(places[q]) >> 8, (int(places[q]) & 255) + 1
+                    lo, n = int(places[q]) >> 16, (int(places[q]) & 65535) + 1
                     at = np.searchsorted(ups, lo + n - 1)
                     e = int(ups[at]) if at < len(ups) else len(x)
                     rows.append((hs[q], key[r], lo, n, e - lo, singles[q], x[lo : e + length].tobytes()))
@@ -249,25 +246,25 @@ def _counted(joined: DataFrame, length: int) -> DataFrame:
             lists, key = b.column("wanted"), np.asarray(b.column("key"))
             offs, places = np.asarray(lists.offsets), np.asarray(lists.values.field("place"))
             for r in range(b.num_rows):
-                h = tx.prefix_hash(d[o[r] : o[r + 1]])
-                own = places[offs[r] : offs[r + 1]]
-                at = np.concatenate([np.arange(p >> 8, (p >> 8) + (p & 255) + 1) for p in own]) if len(own) else own
-                yield pa.RecordBatch.from_arrays([pa.array(tx.as_long(tx.span_hash(h, at, at + length))), pa.array(np.full(len(at), key[r])), pa.array(at)], names=["w", "key", "lo"])
+                x, own = d[o[r] : o[r + 1]], places[offs[r] : offs[r + 1]]
+                at = np.concatenate([np.arange(p >> 16, (p >> 16) + (p & 65535) + 1) for p in own]) if len(own) else own
+                yield pa.RecordBatch.from_arrays([*(pa.array(tx.as_long(tx.span_hash(x, at, at + length, seed))) for seed in (0, 1)), pa.array(np.full(len(at), key[r])), pa.array(at)], names=["w", "v", "key", "lo"])
 
-    windows = joined.mapInArrow(run, "w long, key long, lo long")
-    twice = windows.groupBy("w").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("w")
-    return windows.join(twice, "w").select("key", "lo", (F.col("lo") + length).alias("hi"))
+    windows = joined.mapInArrow(run, "w long, v long, key long, lo long")
+    twice = windows.groupBy("w", "v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("w", "v")
+    return windows.join(twice, ["w", "v"]).select("key", "lo", (F.col("lo") + length).alias("hi"))
 
 
-def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
-    """(texts, runs): texts (key, t) of all rows, and runs (key, lo, hi) of bytes to remove, which may overlap."""
-    source = _keyed(docs, text, doc_id)
+def repeats(source: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
+    """(key, lo, hi): runs of bytes of the texts (key, t) that repeat, which may overlap. Rows with one key count as one."""
+    if not K <= length <= 65_000:
+        raise ValueError(f"length must be {K} to 65000, not {length}")
     anchors = _anchors(source, length)
     twice = anchors.groupBy("h").agg(F.min(F.struct("key", "place")).alias("a"), F.max(F.struct("key", "place")).alias("z")).filter("a <> z").select("h")
     again = cut(anchors.join(twice, "h").distinct())
     wholes = cut(again.groupBy("h", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "place")).alias("one")))
     same = again.join(wholes.filter("n > 1").select("h", "whole"), ["h", "whole"])
-    equal = same.select("key", F.shiftright("place", 8).alias("lo"), (F.shiftright("place", 8) + F.col("place").bitwiseAND(255) + length).alias("hi"))
+    equal = same.select("key", F.shiftright("place", 16).alias("lo"), (F.shiftright("place", 16) + F.col("place").bitwiseAND(65535) + length).alias("hi"))
     by_anchor = wholes.groupBy("h").agg(F.count(F.lit(1)).alias("pieces"), F.min("n").alias("least")).filter("pieces > 1 AND least = 1").select("h", "pieces")
     wanted = wholes.join(by_anchor, "h").select("h", "one.key", "one.place", (F.col("n") == 1).alias("single"), (F.col("pieces") > hot).alias("hot"))
     lists = cut(wanted.groupBy("key", "hot").agg(F.collect_list(F.struct("h", "place", "single")).alias("wanted")))
@@ -276,31 +273,33 @@ def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length:
     found = equal.unionByName(cold)
     if lists.filter("hot").limit(1).count():
         found = found.unionByName(_counted(texts.join(lists.filter("hot").select("key", "wanted"), "key"), length))
-    return source, found
+    return found
 
 
 def remove(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """docs (the columns `keep`, or all) with kept (the bytes that are left), n_bytes, n_removed, n_spans and kept_sha256 in place of any columns so named."""
-    names = ["kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    cols = [c for c in (docs.columns if keep is None else keep) if c not in names]
-    found = repeats(docs, text, doc_id, length, hot)[1]
-    lists = found.groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
-    t = F.coalesce(docs[text].cast("string"), F.lit(""))
-    source = docs.select(*(docs[c] for c in cols), F.xxhash64(docs[doc_id], t).alias("__key"), t.alias("__t"))
-    joined = source.join(lists, F.col("__key") == F.col("key"), "left").select(*cols, "__t", "runs")
+    own = Hidden(docs, ["kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"], keep)
+    t = F.coalesce(text_of(own.of(text)), F.lit(""))
+    source = own.df.select(*own.kept, F.xxhash64(own.of(doc_id), t).alias("key"), t.alias("t"))
+    lists = repeats(source.select("key", "t"), length, hot).groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
+    # The exchange of the join has brought rows with one key together.
+    joined = source.join(lists, "key", "left").select(*own.kept, "t", "runs", (F.count(F.lit(1)).over(W.partitionBy("key")) > 1).alias("again"))
     types = [T.BinaryType(), T.LongType(), T.LongType(), T.LongType(), T.StringType()]
-    schema = T.StructType([*joined.select(*cols).schema.fields, *(T.StructField(n, k) for n, k in zip(names, types, strict=True))])
+    schema = T.StructType([*joined.select(*own.kept).schema.fields, *(T.StructField(n, k) for n, k in zip(own.outputs, types, strict=True))])
+    names, kept = own.outputs, own.kept
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            d, o = tx.text_buffer(b.column("__t"))
-            lists_, rows = b.column("runs"), []
+            d, o = tx.text_buffer(b.column("t"))
+            lists_, rows, again = b.column("runs"), [], b.column("again").to_pylist()
             offs, null = np.asarray(lists_.offsets), np.asarray(lists_.is_null())
             los, his = (np.asarray(lists_.values.field(c)) for c in ("lo", "hi"))
             for r in range(b.num_rows):
                 x = d[o[r] : o[r + 1]]
                 edge = np.zeros(len(x) + 1, np.int64)
-                if not null[r]:
+                if again[r] and len(x) >= length:
+                    edge[0] = 1
+                elif not null[r]:
                     np.add.at(edge, los[offs[r] : offs[r + 1]], 1)
                     np.add.at(edge, his[offs[r] : offs[r + 1]], -1)
                 gone = np.cumsum(edge)[:-1] > 0
@@ -309,9 +308,9 @@ def remove(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: li
                 rows.append((left, len(x), int(gone.sum()), spans, hashlib.sha256(left).hexdigest()))
             new = list(zip(*rows, strict=True)) or [[]] * 5
             kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in cols), *(pa.array(c, k) for c, k in zip(new, kinds, strict=True))], names=[*cols, *names])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *(pa.array(c, k) for c, k in zip(new, kinds, strict=True))], names=[*kept, *names])
 
-    return joined.mapInArrow(run, schema)
+    return own.back(joined.mapInArrow(run, schema))
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
