@@ -1,26 +1,29 @@
 """Secret scans with inferred grammars.
 
-Three rules give the base spans of a text. Their matches are the labelled
-credentials: for each kind a prefix tree of a bounded sample of its strings is
-folded into a probabilistic automaton, merging states whose ending and branching
-frequencies agree within Hoeffding's bound. One more automaton is inferred from
-ordinary tokens: a sample of occurrences, so what repeats in prose weighs as it
-does there, less those that are as likely as credentials under a credential
-automaton (the LOW quantile of the labelled ones) and no shorter than all of these. Every token outside the base
-spans, from MIN_LENGTH characters or the shortest labelled credential on, whichever
-is less, is then scored: the log likelihood under the best credential automaton
-less that under the ordinary one, per character. The threshold lies just above the
-ordinary sample, but never above the LOW quantile of the labelled credentials'
-scores, so unlabelled credentials can't lift it. Tokens from it on become spans of
-kind `format`.
-
-The sample is the bound of the fit: at most SAMPLE distinct strings of a kind and
-SAMPLE occurrences of ordinary tokens, those with the smallest hashes over the
-whole table. All texts are scanned.
-
-Defined results: a null or empty text has no spans; repeated rows and extra
-columns change nothing; without any labelled credential there are only base
-spans; long texts are scanned whole.
+Three rules give the base spans of a text. Their matches are the labelled credentials:
+for each kind a prefix tree of a bounded sample of its strings is folded into a
+probabilistic automaton. Two states are merged when the frequencies of ending, of each
+next character and of each number of characters left, in them and in the states behind
+them, agree within Hoeffding's bound. So a fixed prefix stays literal, and a format of a
+fixed length becomes a chain of states that counts it. Characters that a state hasn't
+seen get a little of the mass of their class. One more automaton is inferred from
+ordinary tokens: a sample of occurrences, so what repeats in prose weighs as it does
+there, less those that are as likely as credentials.
+
+Every token outside the base spans, from MIN_LENGTH characters or the shortest labelled
+credential on, whichever is less, is scored by its log likelihood a character. It becomes
+a span of kind `format` when some credential automaton makes it likelier than the
+ordinary one does and no more than SLACK less likely than the LOW quantile of labelled
+credentials, which is measured on strings that the automaton wasn't fitted to. A kind
+without labelled credentials has no automaton: nothing tells its format.
+
+The bound of the fit: at most SAMPLE distinct strings of a kind, of up to LONGEST
+characters, and SAMPLE occurrences of ordinary tokens, those with the smallest hashes
+over the whole table. All texts are scanned, and base spans have no bound.
+
+Defined results: a null or empty text has no spans; repeated rows and extra columns
+change nothing, whatever their names; without any labelled credential there are only
+base spans; long texts are scanned whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +31,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -37,17 +43,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import _text as tx
-from quillspark.llm._spark import cut, load
+from quillspark.llm._spark import Hidden, cut, load, text_of
 
 KINDS = ["assign", "access", "hex", "format"]
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
-SAMPLE, MIN_LENGTH, ALPHA, LOW = 1500, 16, 0.05, 0.05
+SAMPLE, LONGEST, MIN_LENGTH, ALPHA, LOW, SLACK = 1500, 512, 16, 0.05, 0.05, 0.5
 _HEX, _TOKEN = np.zeros(256, bool), np.zeros(256, bool)
 _HEX[list(b"0123456789abcdef")] = True
 _TOKEN[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")] = True
-_CLASS = str.maketrans({c: k for k, cs in {"h": "abcdef", "l": "ghijklmnopqrstuvwxyz", "H": "ABCDEF", "L": "GHIJKLMNOPQRSTUVWXYZ", "d": "0123456789"}.items() for c in cs})
-SYMBOLS = 5 + 6
+_CLASSES = ["abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", "0123456789", "+/_.=-"]
+_CLASS = {c: k for k, cs in enumerate(_CLASSES) for c in cs}
 
 
 def runs(d: np.ndarray, o: np.ndarray, kind: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,33 +95,49 @@ def scan(d: np.ndarray, o: np.ndarray, least: int = MIN_LENGTH) -> Iterator[tupl
         found = base_spans(text, [(int(chs[k] - at), int(che[k] - at)) for k in range(hlo[i], hlo[i + 1])])
         rest = [(int(cts[k] - at), int(cte[k] - at)) for k in range(tlo[i], tlo[i + 1])]
         if found:
-            rest = [(s, e) for s, e in rest if not any(s < y and x < e for x, _, y, _ in found)]
+            ends = list(accumulate((y for _, _, y, _ in found), max))  # bases are in the order of their starts
+            firsts = [x for x, _, _, _ in found]
+            rest = [(s, e) for s, e in rest if not (k := bisect_left(firsts, e)) or ends[k - 1] <= s]
         yield found, [(s, e, text[s:e]) for s, e in rest]
 
 
 class Automaton:
-    """A probabilistic automaton inferred from strings of symbols."""
+    """A probabilistic automaton inferred from strings."""
 
     def __init__(self, strings: list[str]):
-        count, final, arcs, weight = [0], [0], [{}], [{}]
+        self.count, self.final, self.arcs, self.weight, self.left = [0], [0], [{}], [{}], [Counter()]
         for x in strings:
             at = 0
-            count[0] += 1
-            for c in x:
-                if c not in arcs[at]:
-                    arcs[at][c] = len(count)
-                    weight[at][c] = 0
-                    count.append(0), final.append(0), arcs.append({}), weight.append({})
-                weight[at][c] += 1
-                at = arcs[at][c]
-                count[at] += 1
-            final[at] += 1
-        self.count, self.final, self.arcs, self.weight = count, final, arcs, weight
+            self.count[0] += 1
+            self.left[0][len(x)] += 1
+            for i, c in enumerate(x):
+                if c not in self.arcs[at]:
+                    self.arcs[at][c] = len(self.count)
+                    self.weight[at][c] = 0
+                    self.count.append(0), self.final.append(0), self.arcs.append({}), self.weight.append({}), self.left.append(Counter())
+                self.weight[at][c] += 1
+                at = self.arcs[at][c]
+                self.count[at] += 1
+                self.left[at][len(x) - i - 1] += 1
+            self.final[at] += 1
         self._merge()
-        keep = sorted(self._reachable())
-        self.steps = {n: {c: (math.log((self.weight[n][c] + 0.1) / (count[n] + 0.1 * (SYMBOLS + 1))), m) for c, m in arcs[n].items()} for n in keep}
-        self.ends = {n: math.log((final[n] + 0.1) / (count[n] + 0.1 * (SYMBOLS + 1))) for n in keep}
-        self.miss = {n: math.log(0.1 / (count[n] + 0.1 * (SYMBOLS + 1))) for n in keep}
+        self.states = sorted(self._reachable())
+        self.steps = {n: self._state(n) for n in self.states}
+        del self.count, self.final, self.arcs, self.weight, self.left
+
+    def _state(self, n: int) -> tuple[dict[str, tuple[float, int]], list[tuple[float, int]], float]:
+        """Of a state: logarithm of the probability, and next state, of each character that it has seen; the same for others of each class; the logarithm of ending."""
+        arcs, weight, total = self.arcs[n], self.weight[n], self.count[n]
+        usual = max(weight, key=lambda c: (weight[c], c), default=None)
+        others = []
+        for k, letters in enumerate(_CLASSES):
+            own = {c: w for c, w in weight.items() if _CLASS.get(c) == k}
+            share = (sum(own.values()) + 0.05) / (total + 0.6) / len(letters)
+            to = max(own, key=lambda c: (own[c], c)) if own else usual
+            others.append((2 * share / (total + 2), n if to is None else arcs[to]))
+        seen = {c: (math.log(w / (total + 2) + others[_CLASS.get(c, 5)][0]), arcs[c]) for c, w in weight.items()}
+        end = (self.final[n] + 2 * (self.final[n] + 0.05) / (total + 0.6)) / (total + 2)
+        return seen, [(math.log(p), m) for p, m in others], math.log(end)
 
     def _reachable(self) -> set[int]:
         seen, todo = {0}, [0]
@@ -127,7 +149,7 @@ class Automaton:
         return seen
 
     def _agree(self, a: int, b: int) -> bool:
-        """Whether ending and branching frequencies of two states, and of those after them, agree within Hoeffding's bound."""
+        """Whether two states, and those after them, agree within Hoeffding's bound."""
         todo, root = [(a, b)], math.sqrt(0.5 * math.log(2 / ALPHA))
         while todo:
             a, b = todo.pop()
@@ -135,10 +157,14 @@ class Automaton:
             if not n or not m:
                 continue
             bound = root * (1 / math.sqrt(n) + 1 / math.sqrt(m))
-            if abs(self.final[a] / n - self.final[b] / m) > bound:
-                return False
             if bound >= 1:
                 continue  # too few strings to tell; so it is below them
+            gap = x = y = 0
+            for k in sorted(self.left[a].keys() | self.left[b].keys()):
+                x, y = x + self.left[a][k], y + self.left[b][k]
+                gap = max(gap, abs(x / n - y / m))
+            if gap > bound:
+                return False
             for c in self.arcs[a].keys() | self.arcs[b].keys():
                 if abs(self.weight[a].get(c, 0) / n - self.weight[b].get(c, 0) / m) > bound:
                     return False
@@ -153,6 +179,7 @@ class Automaton:
             a, b = todo.pop()
             self.count[a] += self.count[b]
             self.final[a] += self.final[b]
+            self.left[a].update(self.left[b])
             for c, m in self.arcs[b].items():
                 self.weight[a][c] = self.weight[a].get(c, 0) + self.weight[b][c]
                 if c in self.arcs[a]:
@@ -167,7 +194,7 @@ class Automaton:
             if not blue:
                 return
             _, parent, symbol, b = min(blue)
-            for r in red:
+            for r in reversed(red):  # what was told apart last is nearest in length
                 if self._agree(r, b):
                     self.arcs[parent][symbol] = r
                     self._fold(r, b)
@@ -177,17 +204,13 @@ class Automaton:
                 sure.add(b)
 
     def score(self, x: str) -> float:
-        """Log likelihood of the string."""
-        at, total = 0, 0.0
+        """Log likelihood of the string, a character."""
+        at, total, steps = 0, 0.0, self.steps
         for c in x:
-            step = self.steps[at].get(c)
-            if step is None:
-                total += self.miss[at]
-                at = 0
-            else:
-                total += step[0]
-                at = step[1]
-        return total + self.ends[at]
+            seen, others, _ = steps[at]
+            p, at = seen.get(c) or others[_CLASS.get(c, 5)]
+            total += p
+        return (total + steps[at][2]) / max(len(x), 1)
 
 
 def low_quantile(x: list[float]) -> float:
@@ -195,40 +218,38 @@ def low_quantile(x: list[float]) -> float:
     return sorted(x)[int(LOW * (len(x) - 1))]
 
 
+def usual_score(strings: list[str]) -> float:
+    """The LOW quantile of strings' scores under the automaton of the other half of them (of all, where there are few)."""
+    if len(strings) < 20:
+        a = Automaton(strings)
+        return low_quantile([a.score(x) for x in strings])
+    halves = strings[::2], strings[1::2]
+    return low_quantile([a.score(x) for a, own in zip(map(Automaton, halves), reversed(halves), strict=True) for x in own])
+
+
 class Grammar:
-    """The credential automata, the ordinary one, and the threshold on the score a character."""
+    """The credential automata with their least scores, and the ordinary one."""
 
     def __init__(self, samples: dict[str, list[str]], length: int = MIN_LENGTH):
-        labelled = [samples[k] for k in KINDS[:3] if samples.get(k)]
         self.length = length
-        self.automata = [Automaton([x.translate(_CLASS) for x in own]) for own in labelled]
-        ordinary = [(x, x.translate(_CLASS)) for x in samples.get("other", [])]
-        for a, own in zip(self.automata, labelled, strict=True):  # what is as likely as credentials isn't ordinary
-            least, like = min(map(len, own)), low_quantile([a.score(x.translate(_CLASS)) / len(x) for x in own])
-            ordinary = [(x, c) for x, c in ordinary if len(x) < least or a.score(c) / len(c) < like]
-        self.ordinary = Automaton([c for _, c in ordinary])
-        self.kept: dict[str, float] = {}
-        self.least = 0.0
-        if self.automata:
-            scores = sorted(self.score(x) for x, _ in ordinary)
-            known = min(low_quantile([self.score(x) for x in own]) for own in labelled)
-            self.least = max(0.25, min(known, scores[int(0.999 * (len(scores) - 1))] + 0.05 if scores else known))
-
-    def score(self, token: str) -> float:
-        """How much likelier a character of the token is in a credential than in an ordinary token, as a logarithm."""
-        x = token.translate(_CLASS)
-        if x not in self.kept:
-            if len(self.kept) >= 200_000:
-                self.kept.clear()
-            self.kept[x] = (max(a.score(x) for a in self.automata) - self.ordinary.score(x)) / len(x)
-        return self.kept[x]
+        labelled = [[x for x in samples.get(k, []) if len(x) <= LONGEST] for k in KINDS[:3]]
+        self.automata = [(Automaton(own), usual_score(own) - SLACK) for own in labelled if own]
+        ordinary = [x for x in samples.get("other", []) if len(x) <= LONGEST and not any(a.score(x) >= least + SLACK / 2 for a, least in self.automata)]
+        self.ordinary = Automaton(ordinary)
+        self.kept: dict[str, bool] = {}
 
     def secret(self, token: str) -> bool:
         """Whether the token is taken for a credential."""
-        return bool(self.automata) and self.score(token) >= self.least
+        got = self.kept.get(token)
+        if got is None:
+            if len(self.kept) >= 200_000:
+                self.kept.clear()
+            best = max((s for a, least in self.automata if (s := a.score(token)) >= least), default=None)
+            got = self.kept[token] = best is not None and best > self.ordinary.score(token)
+        return got
 
 
-def _smallest(docs: DataFrame, text: str, sample: int, least: int | None) -> DataFrame:
+def _smallest(texts: DataFrame, sample: int, least: int | None) -> DataFrame:
     """(kind, token, h, shortest): each task's `sample` smallest hashes of a kind at most. Without least, of the labelled kinds, with the shortest token of each; with it, of the occurrences of other tokens of that length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +278,7 @@ def _smallest(docs: DataFrame, text: str, sample: int, least: int | None) -> Dat
         cols = list(zip(*rows, strict=True)) or [[], [], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], names=["kind", "token", "h", "shortest"])
 
-    found = docs.select(docs[text].cast("string").alias("t")).mapInArrow(run, "kind string, token string, h long, shortest long")
+    found = texts.mapInArrow(run, "kind string, token string, h long, shortest long")
     return cut(found.groupBy("kind", "token", "h").agg(F.min("shortest").alias("shortest")))
 
 
@@ -270,20 +291,22 @@ def learn(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Grammar:
         if got:
             samples[kind] = [r.token for r in got]
 
-    labelled = _smallest(docs, text, sample, None)
+    own = Hidden(docs)
+    texts = own.df.select(text_of(own.of(text)).alias("t"))
+    labelled = _smallest(texts, sample, None)
     for k in KINDS[:3]:
         take(labelled, k)
     length = min(MIN_LENGTH, labelled.agg(F.min("shortest")).first()[0] or MIN_LENGTH)
-    take(_smallest(docs, text, sample, length), "other")
+    take(_smallest(texts, sample, length), "other")
     return Grammar(samples, length)
 
 
 def find(docs: DataFrame, grammar: Grammar, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """docs (the columns `keep`, or all) with n_assign, n_access, n_hex, n_format, base_sha256 and spans in place of any columns so named. One narrow pass."""
     names = ["n_assign", "n_access", "n_hex", "n_format", "base_sha256", "spans"]
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in names]
-    source = docs.select(*(docs[c] for c in kept), docs[text].cast("string").alias("__text"))
-    schema = source.drop("__text").schema
+    own = Hidden(docs, names, keep)
+    source, kept = own.df.select(*own.kept, text_of(own.of(text)).alias("t")), own.kept
+    schema = source.drop("t").schema
     for n in names:
         schema = schema.add(n, "long" if n[0] == "n" else "string")
     state = docs.sparkSession.sparkContext.broadcast(grammar)  # bounded by the samples
@@ -291,18 +314,18 @@ def find(docs: DataFrame, grammar: Grammar, text: str = "text", keep: list[str]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = state.value
         for b in batches:
-            d, o = tx.text_buffer(b.column("__text"))
+            d, o = tx.text_buffer(b.column("t"))
             rows = []
             for _, _, x, y in tx.chunks(d, o):
                 for found, rest in scan(x, y, g.length):
                     base = [(s, k, e) for s, k, e, _ in found]
-                    more = [(s, 3, e) for s, e, token in rest if g.secret(token)]
+                    more = [(s, 3, e) for s, e, token in rest if g.automata and g.secret(token)]
                     write = lambda spans: ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
                     rows.append((*(sum(k == i for _, k, _ in base) for i in range(3)), len(more), hashlib.sha256(write(base).encode()).hexdigest(), write(base + more)))
             cols = list(zip(*rows, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *(pa.array(c, pa.int64() if n[0] == "n" else pa.string()) for n, c in zip(names, cols, strict=True))], names=[*kept, *names])
 
-    return source.mapInArrow(run, schema)
+    return own.back(source.mapInArrow(run, schema))
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
