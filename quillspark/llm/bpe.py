@@ -26,11 +26,14 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm._spark import load
+from quillspark.llm._spark import Hidden, load, text_of
+from quillspark.llm._unicode import LOWER, Classes
 
 CACHE, LONG = 400_000, 64
+_LOWER = LOWER | {0x3A3: 0x3C3}  # a capital sigma isn't final for the library
 
 
 def default_file() -> str:
@@ -66,7 +69,8 @@ class Codec:
         pairs = (tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"])
         self.merges = {(self.vocab[a], self.vocab[b]): (rank, self.vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.pattern = regex.compile(split["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
+        pattern, classes = split["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"), Classes()
+        self.pattern, self.odd, self.exact = regex.compile(pattern), classes.odd, regex.compile(classes.exact(pattern))
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.letters = _byte_letters()
         self.kept: dict[str, tuple[str, int, str]] = {}
@@ -106,9 +110,11 @@ class Codec:
             if i % 2:
                 yield self.special[part]
             elif part:
+                pattern = self.pattern
                 if not part.isascii():
-                    part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
-                yield from self.pattern.findall(part.lower())
+                    part = unicodedata.normalize("NFC", part).translate(_LOWER)
+                    pattern = pattern if self.odd.isdisjoint(part) else self.exact
+                yield from pattern.findall(part.lower())
 
     def encode(self, text: str) -> list[int]:
         """The ids of a text."""
@@ -148,49 +154,49 @@ def codec(path: str) -> Codec:
 
 def encode(docs: DataFrame, path: str | None = None, text: str = "text", out: str = "ids") -> DataFrame:
     """docs with the array of ids of its text; a column that has this name already is replaced."""
-    path, source = path or default_file(), docs.drop(out)
-    full, kept = source.select("*", docs[text].cast("string").alias("__text")), source.columns
-    schema = T.StructType([*source.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
+    path, own = path or default_file(), Hidden(docs, [out])
+    full, kept = own.df.select(*own.kept, text_of(own.of(text)).alias("t")), own.kept
+    schema = T.StructType([*full.schema.fields[:-1], T.StructField(out, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for b in batches:
-            ids = [c.encode(x.as_py() or "") for x in b.column("__text")]
+            ids = [c.encode(x.as_py() or "") for x in b.column("t")]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in kept), pa.array(ids, pa.list_(pa.int32()))], names=[*kept, out])
 
-    return full.mapInArrow(run, schema)
+    return own.back(full.mapInArrow(run, schema))
 
 
 def decode(tokens: DataFrame, path: str | None = None, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """tokens with the text that its arrays of ids stand for; null where the array is."""
-    path, source = path or default_file(), tokens.drop(out)
-    full, kept = source.select("*", tokens[ids].alias("__ids")), source.columns
-    schema = T.StructType([*source.schema.fields, T.StructField(out, T.StringType())])
+    path, own = path or default_file(), Hidden(tokens, [out])
+    full, kept = own.df.select(*own.kept, F.col(own.of(ids)).alias("ids")), own.kept
+    schema = T.StructType([*full.schema.fields[:-1], T.StructField(out, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for b in batches:
-            texts = [None if x is None else c.decode(x) for x in b.column("__ids").to_pylist()]
+            texts = [None if x is None else c.decode(x) for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in kept), pa.array(texts, pa.string())], names=[*kept, out])
 
-    return full.mapInArrow(run, schema)
+    return own.back(full.mapInArrow(run, schema))
 
 
 def digests(docs: DataFrame, path: str | None = None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """docs (the columns `keep`, or all) with n_tokens, ids_sha256 and decoded_sha256 in place of any columns so named."""
     path, names = path or default_file(), ["n_tokens", "ids_sha256", "decoded_sha256"]
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in names]
-    source = docs.select(*(docs[c] for c in kept), docs[text].cast("string").alias("__text"))
+    own = Hidden(docs, names, keep)
+    source, kept = own.df.select(*own.kept, text_of(own.of(text)).alias("t")), own.kept
     schema = T.StructType([*source.schema.fields[:-1], *(T.StructField(n, t) for n, t in zip(names, (T.LongType(), T.StringType(), T.StringType()), strict=True))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for b in batches:
-            got = [c.digest(x.as_py() or "") for x in b.column("__text")]
+            got = [c.digest(x.as_py() or "") for x in b.column("t")]
             cols = [pa.array([g[i] for g in got], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in kept), *cols], names=[*kept, *names])
 
-    return source.mapInArrow(run, schema)
+    return own.back(source.mapInArrow(run, schema))
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,5 +205,5 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the tokens of each document that is left."""
+    """Pipeline stage: doc_id and the digests of each document that is left, one row a row. Null and empty texts have 0 tokens; an empty table gives no rows; other columns aren't read."""
     return digests(docs, keep=["doc_id"])
