@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
-import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A Bloom filter's bits, as a power of 2: 8 MB, however much it holds.
-BLOOM = 26
+#: A Bloom filter's bits a row, and the least and most bits of one, as powers of 2 (32 MB at most).
+BLOOM_ROW, BLOOM_LEAST, BLOOM_MOST = 16, 20, 28
+
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,45 +29,98 @@ def shared_folder(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         at = tempfile.mkdtemp(prefix="checkpoints-")
+        atexit.register(shutil.rmtree, at, True)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(at)
     return at
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and written to the shared folder as a Parquet table; its lineage ends there, so a lost executor costs nothing. The tables go when the driver ends."""
-    spark = df.sparkSession
-    base = f"{shared_folder(spark)}/tables-{spark.sparkContext.applicationId}"
-    if base not in _BASES:
-        _BASES.add(base)
-        atexit.register(_remove, spark, base)
-    at = f"{base}/{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
-
+    """df, computed once and written as a Parquet table to the folder that all executors share; its lineage ends there, so a lost executor costs nothing.
 
-_BASES: set[str] = set()
-
-
-def _remove(spark: SparkSession, at: str) -> None:
-    """Deletes a folder while the session still runs."""
+    The table lies in the folder of an empty checkpoint that the result's plan refers to. So Spark's cleaner deletes
+    it with that checkpoint when no plan refers to it any more, if spark.cleaner.referenceTracking.cleanCheckpoints is
+    set; at the latest it goes when the driver ends.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    mark = spark.range(0).checkpoint()
+    at = mark._jdf.queryExecution().logical().rdd().getCheckpointFile().get()
+    if not _MADE:
+        atexit.register(_remove, spark)
+    _MADE.append(at)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")  # the shuffle files behind the table go as soon as it is written
+    try:
+        df.write.parquet(f"{at}/table")
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    none = mark.filter(F.lit(False)).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema))
+    return spark.read.schema(df.schema).parquet(f"{at}/table").union(none)  # the optimiser drops the empty part
+
+
+_MADE: list[str] = []
+
+
+def _remove(spark: SparkSession) -> None:
+    """Deletes the tables that are left while the session still runs."""
     sc = spark.sparkContext
     if sc._jsc is not None:
-        path = sc._jvm.org.apache.hadoop.fs.Path(at)
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        for at in _MADE:
+            path = sc._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bloom_of(df: DataFrame, hashed: Column) -> np.ndarray:
-    """A Bloom filter with one bit a row, from the low bits of a column of hashes. Its words are combined before they are shuffled; the driver gets 2^20 of them at most."""
-    bit = hashed.bitwiseAND(F.lit((1 << BLOOM) - 1))
-    b = df.select(F.shiftright(bit, 6).cast("int").alias("w"), bit.bitwiseAND(63).cast("int").alias("s"))
+    """A Bloom filter with two bits a row, from a column of well mixed hashes; its size follows the number of rows, up to 2^BLOOM_MOST bits. It only saves sending rows that a join drops later, so a full one is slow and never wrong."""
+    rows = max(df.count(), 1)
+    size = min(max((rows * BLOOM_ROW - 1).bit_length(), BLOOM_LEAST), BLOOM_MOST)
+    both = F.explode(F.array(*(F.shiftright(hashed, k).bitwiseAND(F.lit((1 << size) - 1)) for k in (0, 32))))
+    bit = F.col("bit")
+    b = df.select(both.alias("bit")).select(F.shiftright(bit, 6).cast("int").alias("w"), bit.bitwiseAND(63).cast("int").alias("s"))
     words = b.groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, s)")).alias("bits")).toArrow()
-    out = np.zeros(1 << (BLOOM - 6), np.int64)
+    out = np.zeros(1 << (size - 6), np.int64)
     out[np.asarray(words["w"])] = np.asarray(words["bits"])
     return out.view(np.uint64)
 
 
 def in_bloom(bloom: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Whether each hash may be in the filter."""
-    bit = hashes & ((1 << BLOOM) - 1)
-    return ((bloom[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+    out = np.ones(len(hashes), bool)
+    for k in (0, 32):
+        bit = (hashes >> k) & (len(bloom) * 64 - 1)
+        out &= ((bloom[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+    return out
+
+
+class Hidden:
+    """docs with its columns under names of our own, so that no name of the user's can clash with an operator's or needs quoting.
+
+    df has the columns c0, c1 and so on; `kept` are those that pass, all or those named in `keep`, without any that an
+    output of the operator replaces (compared without case). back() gives a result with the kept columns, then the
+    outputs, their names again.
+    """
+
+    def __init__(self, docs: DataFrame, outputs: list[str] | tuple[str, ...] = (), keep: list[str] | None = None):
+        self.names, self.outputs = docs.columns, list(outputs)
+        self.df = docs.toDF(*(f"c{i}" for i in range(len(self.names))))
+        gone = {x.lower() for x in outputs}
+        wanted = None if keep is None else {self.of(k) for k in keep}
+        self.kept = [f"c{i}" for i, n in enumerate(self.names) if n.lower() not in gone and (wanted is None or f"c{i}" in wanted)]
+
+    def of(self, name: str) -> str:
+        """Our name for the user's column: the one so spelled, else the first that differs in case alone."""
+        for test in (lambda n: n == name, lambda n: n.lower() == name.lower()):
+            for i, n in enumerate(self.names):
+                if test(n):
+                    return f"c{i}"
+        raise KeyError(f"no column {name} among {self.names}")
+
+    def back(self, out: DataFrame) -> DataFrame:
+        """out, which has the kept columns and then the outputs, under the user's names."""
+        return out.select(*self.kept, *self.outputs).toDF(*(self.names[int(c[1:])] for c in self.kept), *self.outputs)
+
+
+def text_of(column: str) -> Column:
+    """A column as text."""
+    return F.col(column).cast("string")

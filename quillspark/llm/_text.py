@@ -7,6 +7,7 @@ text counts as the empty text everywhere.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,9 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) | U(1)
 _BASE, _TABLES = 0x9E3779B97F4A7C15 | 1, {}
+#: The first k bytes of eight, and the constants of span_hash; longer spans than LONG bytes have a hash of their own.
+_FIRST = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+_STEP, _BLOCK, LONG = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93), 4096
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -44,17 +48,34 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefix_hash(d: np.ndarray) -> np.ndarray:
-    """H with H[j] - H[i] the hash of bytes i to j, still shifted by i places."""
+    """H with H[j] - H[i] a rolling hash of bytes i to j, still shifted by i places. Only for choosing places and candidates: it is modulo 2^64, so strings can be made that collide."""
     h = np.zeros(len(d) + 1, np.uint64)
     np.cumsum(_BYTE[d] * powers(len(d) + 1)[0][: len(d)], out=h[1:])
     return h
 
 
-def span_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """The hash of each span of bytes, from prefix_hash's result; equal bytes, equal hash."""
+def rolled(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The rolling hash of each span of bytes, from prefix_hash's result; equal bytes, equal hash."""
     return mix((h[end] - h[start]) * powers(len(h))[1][start] + (end - start).astype(np.uint64) * U(0x2545F4914F6CDD1D))
 
 
+def span_hash(d: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of spans of bytes, mixed after each 8 bytes; spans of up to 8 bytes with one length never share one. Spans over LONG bytes go through BLAKE2b. Other seeds give independent hashes."""
+    n = end - start
+    padded = np.concatenate([d, np.zeros(8, np.uint8)])
+    eight = np.ndarray(shape=(len(d) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    h = mix((n.astype(np.uint64) + U(seed * 2 + 1)) * _STEP) ^ ((eight[start] & _FIRST[np.minimum(n, 8)]) * _BLOCK)
+    h = mix(h)
+    at, k = np.flatnonzero((n > 8) & (n <= LONG)), 8
+    while len(at):
+        h[at] = mix((h[at] + _STEP) ^ ((eight[start[at] + k] & _FIRST[np.minimum(n[at] - k, 8)]) * _BLOCK))
+        k += 8
+        at = at[n[at] > k]
+    for i in np.flatnonzero(n > LONG).tolist():
+        h[i] = U(int.from_bytes(hashlib.blake2b(d[start[i] : end[i]].tobytes(), digest_size=8, key=bytes([seed])).digest(), "little"))
+    return h
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The column's bytes and, for n texts, its n + 1 offsets into them."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -70,7 +91,7 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), o
 
 
-def chunks(d: np.ndarray, o: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(d: np.ndarray, o: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of whole texts of about `most` bytes: first, end, their bytes, their offsets from 0."""
     n, i = len(o) - 1, 0
     while i < n:
@@ -117,6 +138,41 @@ def grams(h: np.ndarray, lo: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray
     return mix(g + U(n)), glo
 
 
+def line_bounds(d: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the lines between \\n, and each text's first line among them (n + 1 bounds). A text has one line more than it has \\n."""
+    ends = np.sort(np.concatenate([np.flatnonzero(d == 10), o[1:]]), kind="stable")
+    llo = np.concatenate([[0], np.cumsum(sums(d == 10, o) + 1)])
+    starts = np.zeros(len(ends), np.int64)
+    starts[1:] = ends[:-1] + 1
+    starts[llo[:-1]] = o[:-1]
+    return starts, ends, llo
+
+
+def ordered_sets(owner: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys of each owner in ascending order: owners that have any, their first places (n + 1 bounds), keys. owner must not fall."""
+    if not len(key):
+        return owner[:0], np.zeros(1, np.int64), key
+    shift = 64 - max(int(owner[-1]).bit_length(), 1)
+    both = (owner.astype(np.uint64) << U(shift)) | (key >> U(64 - shift))
+    order = np.argsort(both)
+    k, w = key[order], owner[order]
+    if ((both[order][1:] == both[order][:-1]) & (k[1:] != k[:-1])).any():  # keys that differ in their last bits alone
+        order = np.lexsort((key, owner))
+        k, w = key[order], owner[order]
+    fresh = np.ones(len(k), bool)
+    fresh[1:] = (k[1:] != k[:-1]) | (w[1:] != w[:-1])
+    k, w = k[fresh], w[fresh]
+    first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+    return w[first], np.append(first, len(k)), k
+
+
+def set_hashes(first: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits that tell a set from others, for each set of ordered_sets (bounds, keys); the order of the keys doesn't matter."""
+    n = np.diff(first).astype(np.uint64)
+    out = [mix(np.add.reduceat(mix(key ^ U(c)), first[:-1]) + n * U(c) if len(n) else n) for c in (0x51ED270B35AE4C2F, 0xA0761D6478BD642F)]
+    return out[0], out[1]
+
+
 def as_long(x: np.ndarray) -> np.ndarray:
     """The same 64 bits as signed numbers."""
     return np.ascontiguousarray(x).view(np.int64)

@@ -13,7 +13,8 @@ Thresholds nest: a smaller budget takes a subset of what a larger one takes.
 Defined results: a null text has size 0; a null source is a source of its own,
 after all others; an empty table gives no rows; a total of 0 words gives
 targets of 0. Documents with the same id share a hash, so they are taken
-together. Reruns agree, since the hash depends on the doc_id alone.
+together. Reruns agree, since the hash depends on the doc_id alone. Columns may have
+any names.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.llm._spark import cut, load
+from quillspark.llm._spark import Hidden, cut, load
 
 WEIGHTS, MOST = (1, 2, 3), 3
 #: Bits of the hash that each round of histograms splits by; 60 in all.
@@ -94,7 +95,9 @@ def copies(docs: DataFrame, plan: DataFrame, source: str = "source", doc_id: str
 
 def slim_of(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
     """What the plan needs of each document: id, source, size and hash."""
-    return docs.select(docs[doc_id].alias("doc_id"), docs[source].alias("__source"), size_of(docs[text]).alias("size"), unit_hash(docs[doc_id]).alias("__h"))
+    own = Hidden(docs)
+    id_ = F.col(own.of(doc_id))
+    return own.df.select(id_.alias("doc_id"), F.col(own.of(source)).alias("__source"), size_of(F.col(own.of(text))).alias("size"), unit_hash(id_).alias("__h"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,10 +108,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: each document as often as the mix takes it."""
+    """Pipeline stage: each document as often as the mix takes it, 0 to 3 times. Null texts have size 0, a null source is one of its own, documents with one doc_id (or none) are taken together; columns may have any names and an empty table gives no rows."""
     plan = plan_mix(cut(slim_of(docs).drop("doc_id")))
-    out = copies(docs, plan).filter("copies > 0")
-    return out.withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
+    own = Hidden(docs)
+    out = copies(own.df, plan, own.of("source"), own.of("doc_id")).filter("copies > 0")
+    return own.back(out.withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*"))
 
 
 ORACLE = r"""

@@ -2,24 +2,29 @@
 
 A document's set holds its distinct windows of N words. Documents with equal sets
 are one class. Sets are ordered from rare to common, where a window is as rare as
-its rarest word, and by hash among equals; two sets that are similar enough share
-an element of their prefixes. Elements that only one class has in its prefix are
-dropped. Classes with the same size and the same remaining prefix form a group;
-groups that share an element and fit in size are paired at their first shared
-element and meet in that element's cell, where the overlap of their prefixes bounds
-what they can share. Groups that are still candidates are expanded: the members of
-those that hang together meet with their whole sets, which decide. Cells of more
-than BLOCK rows are cut into blocks that meet in pairs, so no task gathers all of
-a common element or of a large component.
-
-Sets are compared by 58-bit hashes of windows and classes told apart by a 64-bit
-hash of the set. The words whose count is at least 1 / 2^20 of all words are
-broadcast; there can't be more than 2^20 of them.
-
-Defined results: a null text is an empty one; a document without words has an
-empty set and no links; one with fewer than N words has one element, all its
-words. Copies are linked with each other. Rows that repeat a doc_id count as
-documents of their own in n_similar. Columns besides doc_id and text aren't read.
+its rarest word over the corpus, and by hash among equals; two sets that are similar
+enough share an element of their prefixes. Prefix elements are shuffled once, and
+those that only one class has in its prefix go no further. Classes with the same
+size and the same remaining prefix form a group, and groups meet at shared elements.
+A pair of groups stays a candidate when the sizes fit and the elements that both can
+still share, in their prefixes from that element on and behind the prefix that ends
+first, suffice. Candidate groups are expanded: the whole sets of their members, read
+from the texts again, decide.
+
+Only candidate pairs are compared, in cells of bounded size (see `_verify`). A very
+common element stands behind the prefixes by its order; where a corpus makes one hot
+nevertheless, the join on elements is a plain sort-merge join, which spills and which
+adaptive execution splits.
+
+Sets are compared by 64-bit hashes of windows within a pair, and classes told apart
+by 128-bit hashes of whole sets.
+
+Defined results: a null text is an empty one; a document without words has an empty
+set and no links; one with fewer than N words has one element, all its words. Copies
+are linked with each other. Rows that repeat a doc_id, and rows with a null one, count
+as documents of their own; component_id is the smallest doc_id that isn't null (null
+if there is none; a document without links has its own). Columns besides doc_id and
+text aren't read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,188 +37,155 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import _text as tx
-from quillspark.llm._cells import meet, placed
-from quillspark.llm._spark import bloom_of, cut, in_bloom, load
+from quillspark.llm._rarity import Rarity, rarity
+from quillspark.llm._spark import Hidden, bloom_of, cut, in_bloom, load, text_of
+from quillspark.llm._verify import cells, verify
 from quillspark.llm.components import components
 
-N, COMMON = 3, 20
+N = 3
 
 
-class Rarity:
-    """Classes of common words by the logarithm of their count; 0 for all others."""
-
-    def __init__(self, words: np.ndarray, counts: np.ndarray, least: float):
-        order = np.argsort(words)
-        self.words = words[order]
-        self.classes = (1 + np.minimum(np.log2(np.maximum(counts[order] / max(least, 1), 1)), 29)).astype(np.uint64)
-        self.table = np.zeros(1 << 20, bool)
-        self.table[(words >> tx.U(44)).astype(np.int64)] = True
-
-    def __call__(self, h: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(h), np.uint64)
-        maybe = np.flatnonzero(self.table[(h >> tx.U(44)).astype(np.int64)])
-        if len(maybe) and len(self.words):
-            at = np.minimum(np.searchsorted(self.words, h[maybe]), len(self.words) - 1)
-            hit = self.words[at] == h[maybe]
-            out[maybe[hit]] = self.classes[at[hit]]
-        return out
-
-
-def word_counts(docs: DataFrame, text: str) -> DataFrame:
-    """(w, n): how often each word's hash occurs. Each task adds up its own first."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def flush() -> pa.RecordBatch:
-            u, back = np.unique(np.concatenate([w for w, _ in held]), return_inverse=True)
-            n = np.bincount(back, np.concatenate([c for _, c in held])).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(tx.as_long(u)), pa.array(n)], names=["w", "n"])
-
-        for b in batches:
-            d, o = tx.text_buffer(b.column(0))
-            for _, _, x, y in tx.chunks(d, o):
-                x = tx.LOWER[x]
-                s, e, _ = tx.words(x, y)
-                held.append(np.unique(tx.span_hash(tx.prefix_hash(x), s, e), return_counts=True))
-                size += len(held[-1][0])
-                if size > 2_000_000:
-                    yield flush()
-                    held, size = [], 0
-        if held:
-            yield flush()
-
-    return docs.select(docs[text].cast("string").alias("t")).mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
-
-
-def rarity(docs: DataFrame, text: str = "text") -> Rarity:
-    """The classes of the table's common words."""
-    counts = cut(word_counts(docs, text))
-    least = (counts.agg(F.sum("n")).first()[0] or 0) / 2**COMMON
-    got = counts.filter((F.col("n") >= least) & (F.col("n") > 1)).toArrow()
-    return Rarity(np.asarray(got["w"]).astype(np.int64).view(np.uint64), np.asarray(got["n"]).astype(float), least)
-
-
-def sets(d: np.ndarray, o: np.ndarray, rare: Rarity, n: int = N) -> list[np.ndarray]:
-    """The set of each text, from rare to common."""
+def sets(d: np.ndarray, o: np.ndarray, rare: Rarity, n: int = N) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sets of the texts from rare to common: texts that have one, their first places (bounds), elements."""
     x = tx.LOWER[d]
     s, e, lo = tx.words(x, o)
-    h = tx.span_hash(tx.prefix_hash(x), s, e)
+    h = tx.span_hash(x, s, e)
     c = rare(h)
-    counts, parts = np.diff(lo), {}
+    counts, owner, keys = np.diff(lo), [], []
     for size in range(1, n + 1):
-        own = (counts == size) if size < n else (counts >= n)
-        if not own.any():
+        own = np.flatnonzero((counts == size) if size < n else (counts >= n))
+        if not len(own):
             continue
         g, glo = tx.grams(h, lo, size)
         low = c.copy()
         for k in range(1, size):
-            low[: len(low) - k] = np.minimum(low[: len(low) - k], c[k:])
-        first = np.arange(len(g)) - np.repeat(glo[:-1], np.diff(glo)) + np.repeat(lo[:-1], np.diff(glo))
-        g = (low[first] << tx.U(58)) | (g >> tx.U(6))
-        parts[size] = (g, glo)
-    out = []
-    for i, k in enumerate(np.minimum(counts, n)):
-        if not k:
-            out.append(np.zeros(0, np.uint64))
+            low[:-k] = np.minimum(low[:-k], c[k:])
+        text = tx.owners(glo)
+        first = np.arange(len(g)) - glo[text] + lo[text]
+        g = (low[first].astype(np.uint64) << tx.U(56)) | (g >> tx.U(8))
+        if size == n:
+            owner.append(text)
+            keys.append(g)
         else:
-            g, glo = parts[int(k)]
-            out.append(np.unique(g[glo[i] : glo[i + 1]]))
-    return out
+            owner.append(own)
+            keys.append(g[glo[own]])
+    if not owner:
+        return np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint64)
+    at = np.concatenate(owner)
+    order = np.argsort(at, kind="stable") if len(owner) > 1 else slice(None)
+    return tx.ordered_sets(at[order], np.concatenate(keys)[order])
 
 
-def set_hash(x: np.ndarray) -> int:
-    """64 bits that tell a set from others, as a signed number."""
-    return int(tx.as_long(tx.mix(np.array([tx.mix(x ^ tx.U(0x51ED270B35AE4C2F)).sum(dtype=np.uint64) + tx.U(len(x))])))[0])
-
-
-def prefix(n: int, percent: int) -> int:
+def prefix(n: np.ndarray, percent: int) -> np.ndarray:
     """Elements of a set of n of which a similar set holds at least one."""
     return n - -(-percent * n // 100) + 1
 
 
-def _each(docs: DataFrame, text: str, doc_id: str, rare: Rarity, schema: str, emit) -> DataFrame:  # noqa: ANN001
-    """One narrow pass over the texts: emit(doc ids, sets) gives the columns of schema."""
+def _each(texts: DataFrame, rare: Rarity, schema: str, emit) -> DataFrame:  # noqa: ANN001
+    """One narrow pass over (doc_id, t): emit(rows of a batch, texts with a set, bounds, elements, hashes) gives the columns of schema."""
     names = [x.split()[0] for x in schema.split(", ")]
-    state = docs.sparkSession.sparkContext.broadcast(rare)
+    state = texts.sparkSession.sparkContext.broadcast(rare)  # 4 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            d, o = tx.text_buffer(b.column(1))
+            d, o = tx.text_buffer(b.column("t"))
             for i, j, x, y in tx.chunks(d, o):
-                yield pa.RecordBatch.from_arrays(emit(b.column(0).slice(i, j - i), sets(x, y, state.value)), names=names)
+                own, first, key = sets(x, y, state.value)
+                yield pa.RecordBatch.from_arrays(emit(b.slice(i, j - i), own, first, key, tx.set_hashes(first, key)), names=names)
 
-    return docs.select(docs[doc_id].alias("doc_id"), docs[text].cast("string").alias("t")).mapInArrow(run, schema)
+    return texts.mapInArrow(run, schema)
 
 
 def similar_enough(percent: int):  # noqa: ANN201
     """Whether the overlaps of whole sets make pairs similar."""
-    return lambda shared, n, last: (100 + percent) * shared >= percent * (n[:, None] + n[None, :])
-
-
-def may_be_similar(percent: int):  # noqa: ANN201
-    """Whether pairs whose prefixes overlap so much can be similar: what else they share lies behind the prefix that ends first."""
-
-    def good(shared: np.ndarray, n: np.ndarray, last: np.ndarray) -> np.ndarray:
-        small, large = np.minimum(n[:, None], n[None, :]), np.maximum(n[:, None], n[None, :])
-        behind = -(-percent * n // 100) - 1
-        rest = np.where(last[:, None] < last[None, :], behind[:, None], behind[None, :])
-        rest = np.where(last[:, None] == last[None, :], np.minimum(behind[:, None], behind[None, :]), rest)
-        return (shared > 0) & (100 * small >= percent * large) & ((100 + percent) * np.minimum(shared + rest, small) >= percent * (small + large))
-
-    return good
-
-
-def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = 70) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents, classes, links): documents (doc_id, n_shingles, sid); classes (sid, n, rep, size); links (a, b) between classes' sids."""
-    rare = rarity(docs, text)
-
-    def each_doc(ids: pa.Array, sets_: list[np.ndarray]) -> list[pa.Array]:
-        last = [int(x[prefix(len(x), percent) - 1]) if len(x) else 0 for x in sets_]
-        return [ids.cast(pa.int64()), pa.array([len(x) for x in sets_], pa.int64()), pa.array([set_hash(x) for x in sets_], pa.int64()), pa.array(last, pa.int64())]
-
-    own = cut(_each(docs, text, doc_id, rare, "doc_id long, n_shingles long, sid long, last long", each_doc))
-    classes = cut(own.filter("n_shingles > 0").groupBy("sid").agg(F.max("n_shingles").alias("n"), F.max("last").alias("last"), F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size")))
-
-    def each_key(ids: pa.Array, sets_: list[np.ndarray]) -> list[pa.Array]:
-        del ids
-        known = {set_hash(x): x for x in sets_ if len(x)}  # copies in a chunk count once
-        cut_ = [x[: prefix(len(x), percent)] for x in known.values()]
-        sid = np.repeat(np.array(list(known), np.int64), [len(x) for x in cut_])
-        return [pa.array(tx.as_long(np.concatenate(cut_)) if cut_ else np.zeros(0, np.int64)), pa.array(sid)]
-
-    entries = _each(docs, text, doc_id, rare, "key long, sid long", each_key)
-    shared = entries.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo <> hi").select("key")
-    found = cut(entries.join(shared, "key").distinct())
-    prefixes = found.groupBy("sid").agg(F.sort_array(F.collect_set("key")).alias("keys")).join(classes.select("sid", "n", "last"), "sid")
-    prefixes = cut(prefixes.withColumn("h", F.xxhash64("keys")))
-    groups = prefixes.groupBy("n", "last", "h").agg(F.min("sid").alias("gid"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("members"))
-    groups = cut(groups)
-    members = prefixes.select("sid", "n", "last", "h").join(groups.select("n", "last", "h", "gid"), ["n", "last", "h"]).select("sid", "gid")
-    # Pairs of groups at their first shared element; the four smallest of each tell most repeats apart at once.
-    e = groups.select("gid", "n", F.slice("keys", 1, 4).alias("first"), F.explode("keys").alias("key"))
+    return lambda both, n, m: (100 + percent) * both >= percent * (n + m)
+
+
+def shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, s0, pos) in this order, those whose key two or more different s0 have, once each. Nothing but one row is held from batch to batch."""
+    held: tuple[int, ...] | None = None
+    known = False  # whether the held row's key is shared, and the row out already
+    for b in batches:
+        k, s, p = (np.asarray(c) for c in b.columns)
+        if held is not None:
+            k, s, p = (np.concatenate([[x], y]).astype(y.dtype) for x, y in zip(held, (k, s, p), strict=True))
+        if not len(k):
+            continue
+        fresh = np.ones(len(k), bool)
+        fresh[1:] = (k[1:] != k[:-1]) | (s[1:] != s[:-1])
+        k, s, p = k[fresh], s[fresh], p[fresh]
+        new = np.ones(len(k), bool)
+        new[1:] = k[1:] != k[:-1]
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, len(k)))
+        ok = size > 1
+        if known:
+            ok[0] = True
+        out = np.repeat(ok, size)
+        out[0] &= not known
+        yield pa.RecordBatch.from_arrays([pa.array(k[out]), pa.array(s[out]), pa.array(p[out])], names=["key", "s0", "pos"])
+        held, known = (int(k[-1]), int(s[-1]), int(p[-1])), bool(ok[-1])
+
+
+def join(texts: DataFrame, percent: int = 70) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """For texts (doc_id, t): documents (doc_id, n_shingles, s0, s1), classes (s0, s1, n, rep, size), links (a0, a1, b0, b1) between classes. Documents without words have null hashes."""
+    rare = rarity(texts.select("t"))
+
+    def each_doc(b: pa.RecordBatch, own: np.ndarray, first: np.ndarray, key: np.ndarray, hashes: tuple) -> list[pa.Array]:
+        cols = [np.zeros(b.num_rows, np.int64) for _ in range(4)]
+        n = np.diff(first)
+        for c, x in zip(cols, (n, *map(tx.as_long, hashes), tx.as_long(key[first[:-1] + prefix(n, percent) - 1])), strict=True):
+            c[own] = x
+        return [b.column("doc_id"), *map(pa.array, cols)]
+
+    known = cut(_each(texts, rare, "doc_id long, n_shingles long, s0 long, s1 long, last long", each_doc))
+    # Keys compare as signed numbers in the JVM; with the first bit turned they keep their order.
+    turned = F.col("last").bitwiseXOR(F.lit(-(2**63)))
+    classes = cut(known.filter("n_shingles > 0").groupBy("s0", "s1").agg(F.max("n_shingles").alias("n"), F.max(turned).alias("last"), F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size")))
+
+    def each_key(b: pa.RecordBatch, own: np.ndarray, first: np.ndarray, key: np.ndarray, hashes: tuple) -> list[pa.Array]:
+        del b, own
+        once = np.unique(hashes[0], return_index=True)[1]  # copies in a chunk count once
+        p = prefix(np.diff(first), percent)[once]
+        pos = np.arange(p.sum()) - np.repeat(np.cumsum(p) - p, p)
+        at = pos + np.repeat(first[:-1][once], p)
+        return [pa.array(tx.as_long(key[at] ^ tx.U(1 << 63))), pa.array(np.repeat(tx.as_long(hashes[0][once]), p)), pa.array(pos.astype(np.int32))]
+
+    entries = _each(texts, rare, "key long, s0 long, pos int", each_key)
+    found = entries.repartition("key").sortWithinPartitions("key", "s0").mapInArrow(shared_only, "key long, s0 long, pos int")
+    prefixes = found.groupBy("s0").agg(F.sort_array(F.collect_list(F.struct("key", "pos"))).alias("keys")).join(classes.select("s0", "s1", "n", "last"), "s0")
+    prefixes = cut(prefixes.withColumns({"h": F.xxhash64("keys"), "h2": F.xxhash64(F.lit(1), "keys")}))
+    by = ["n", "last", "h", "h2"]
+    groups = cut(prefixes.groupBy(*by).agg(F.min("s0").alias("gid"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("members")))
+    members = prefixes.select("s0", "s1", *by).join(groups.select(*by, "gid"), by).select("gid", "s0", "s1", "n")
+    # Groups meet at a shared element. If it is their first one, they share no more than what each has from it on, nor than
+    # the elements that any shares in both prefixes from it on and what lies behind the prefix that ends first.
+    rest = F.col("n") - F.floor((F.lit(100 - percent) * F.col("n")) / F.lit(100)) - 1
+    e = groups.select("gid", "n", "last", rest.alias("rest"), F.col("keys")[0]["key"].alias("f1"), F.get("keys", F.lit(1))["key"].alias("f2"), F.size("keys").alias("k"), F.posexplode("keys").alias("i", "e"))
+    e = e.select("e.key", "gid", "n", "last", "rest", "f1", F.coalesce("f2", "f1").alias("f2"), (F.col("k") - F.col("i")).alias("ahead"), (F.col("n") - F.col("e.pos")).alias("reach"))
+    behind = F.when(F.col("a.last") < F.col("b.last"), F.col("a.rest")).when(F.col("a.last") > F.col("b.last"), F.col("b.rest")).otherwise(F.least("a.rest", "b.rest"))
     a, b = e.alias("a"), e.alias("b")
-    fits = (F.col("a.key") == F.col("b.key")) & (100 * F.col("a.n") >= percent * F.col("b.n"))
+    fits = (F.col("a.key") == F.col("b.key")) & (F.lit(100) * F.col("a.n") >= percent * F.col("b.n"))
     fits &= (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.gid") < F.col("b.gid")))
-    earlier = F.array_min(F.array_intersect("a.first", "b.first"))
-    pairs = a.join(b, fits).filter(F.coalesce(earlier, F.col("a.key")) >= F.col("a.key")).select(F.col("a.key").alias("key"), F.explode(F.array("a.gid", "b.gid")).alias("gid"))
-    # Groups meet in the cell of that element with their prefixes, of which the overlap says who can be similar.
-    cells = cut(pairs.distinct().withColumnRenamed("key", "cell").withColumnRenamed("gid", "id"))
-    near = cut(meet(placed(cells).join(groups.select(F.col("gid").alias("id"), "n", "last", "keys"), "id"), may_be_similar(percent)))
-    alone = groups.filter((F.col("members") > 1) & ((100 + percent) * F.least(F.size("keys") + F.ceil(percent * F.col("n") / 100) - 1, F.col("n")) >= 2 * percent * F.col("n"))).select(F.col("gid").alias("node"), F.col("gid").alias("component"))
-    linked = components(near)
-    at = linked.unionByName(alone.join(linked.select("node"), "node", "left_anti"))
-    # The members of groups that hang together meet with their whole sets, each sent once.
-    wanted = cut(members.join(at, members.gid == at.node).select(F.col("component").alias("cell"), F.col("sid").alias("id")))
-    full = _wanted_sets(docs, text, doc_id, rare, wanted.join(classes.select(F.col("sid").alias("id"), "rep"), "id").select(F.col("id").alias("sid"), "rep"))
-    links = cut(meet(placed(wanted).join(full.select(F.col("sid").alias("id"), F.size("keys").cast("long").alias("n"), F.lit(0).cast("long").alias("last"), "keys"), "id"), similar_enough(percent)))
-    return own, classes, links
-
-
-def _wanted_sets(docs: DataFrame, text: str, doc_id: str, rare: Rarity, wanted: DataFrame) -> DataFrame:
-    """(sid, keys) of the classes of wanted (sid, rep). A Bloom filter over their documents keeps most others from being sent."""
-    state = docs.sparkSession.sparkContext.broadcast((bloom_of(wanted, F.xxhash64("rep")), rare))
-    source = docs.select(F.xxhash64(docs[doc_id].cast("long")).alias("h"), docs[text].cast("string").alias("t"))
+    fits &= F.lit(100 + percent) * F.least(F.least("a.ahead", "b.ahead") + behind, "a.reach", "b.reach") >= percent * (F.col("a.n") + F.col("b.n"))
+    for f in ("f1", "f2"):  # most pairs share one of their first elements; later ones needn't say it again
+        fits &= ~((F.col(f"a.{f}") < F.col("a.key")) & ((F.col(f"a.{f}") == F.col("b.f1")) | (F.col(f"a.{f}") == F.col("b.f2"))))
+    pairs = a.join(b, fits).select(F.col("a.gid").alias("a"), F.col("b.gid").alias("b"))
+    # Members of one group share their remaining prefix; they can be similar if that and what lies behind it suffice.
+    inside = groups.filter((F.col("members") > 1) & (F.lit(100 + percent) * F.least(F.size("keys") + rest, F.col("n")) >= F.lit(2 * percent) * F.col("n"))).select(F.col("gid").alias("a"), F.col("gid").alias("b"))
+    candidates = cut(pairs.distinct().unionByName(inside))
+    met, placed = cells(candidates, cut(members))
+    met, placed = cut(met), cut(placed)
+    full = _wanted_sets(texts, rare, placed.select("s0", "s1").distinct().join(classes.select("s0", "s1", "rep"), ["s0", "s1"]))
+    links = cut(verify(met, placed.join(full, ["s0", "s1"]), similar_enough(percent)))
+    return known.select("doc_id", "n_shingles", *(F.when(F.col("n_shingles") > 0, F.col(c)).alias(c) for c in ("s0", "s1"))), classes.drop("last"), links
+
+
+def _wanted_sets(texts: DataFrame, rare: Rarity, wanted: DataFrame) -> DataFrame:
+    """(s0, s1, keys) of the classes of wanted (s0, s1, rep). A Bloom filter over their documents keeps most others from being sent."""
+    wanted = cut(wanted)
+    state = texts.sparkSession.sparkContext.broadcast((bloom_of(wanted, F.xxhash64("rep")), rare))  # at most 32 and 4 MB
+    source = texts.select(F.xxhash64("doc_id").alias("h"), "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, rare_ = state.value
@@ -221,26 +193,39 @@ def _wanted_sets(docs: DataFrame, text: str, doc_id: str, rare: Rarity, wanted:
             b = b.filter(pa.array(in_bloom(bits, np.asarray(b.column(0)))))
             d, o = tx.text_buffer(b.column(1))
             for _, _, x, y in tx.chunks(d, o):
-                got = {set_hash(s): s for s in sets(x, y, rare_) if len(s)}
-                flat = pa.array(tx.as_long(np.concatenate([*got.values()])) if got else np.zeros(0, np.int64))
-                offs = pa.array(np.concatenate([[0], np.cumsum([len(s) for s in got.values()])]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.int64()), pa.ListArray.from_arrays(offs, flat)], names=["sid", "keys"])
+                own, first, key = sets(x, y, rare_)
+                s0, s1 = tx.set_hashes(first, key)
+                lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(tx.as_long(key)))
+                some = pa.array(np.unique(s0, return_index=True)[1] if len(own) else np.zeros(0, np.int64))  # copies in a chunk are sent once
+                yield pa.RecordBatch.from_arrays([pa.array(tx.as_long(s0)).take(some), pa.array(tx.as_long(s1)).take(some), lists.take(some)], names=["s0", "s1", "keys"])
+
+    sent = source.mapInArrow(run, "s0 long, s1 long, keys array<long>")
+    return sent.join(wanted.select("s0", "s1"), ["s0", "s1"]).groupBy("s0", "s1").agg(F.first("keys").alias("keys"))
+
+
+def _name(s0: str, s1: str):  # noqa: ANN202
+    """One value for the two halves of a class's hash."""
+    return F.concat(F.lpad(F.hex(s0), 16, "0"), F.lpad(F.hex(s1), 16, "0"))
+
 
-    sent = source.mapInArrow(run, "sid long, keys array<long>")
-    return sent.join(wanted.select("sid"), "sid").groupBy("sid").agg(F.first("keys").alias("keys"))
+def class_components(links: DataFrame) -> DataFrame:
+    """(node, component): names of linked classes and of their components."""
+    return components(links.select(_name("a0", "a1").alias("a"), _name("b0", "b1").alias("b")))
 
 
 def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = 70) -> DataFrame:
     """Per document: doc_id, n_shingles, n_similar, component_id and class_id (the smallest doc_id with the same set)."""
-    own, classes, links = join(docs, text, doc_id, percent)
-    by = classes.select("sid", "rep", "size")
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = both.join(by.select(F.col("sid").alias("b"), "size"), "b").groupBy(F.col("a").alias("sid")).agg(F.sum("size").alias("others"))
-    edges = links.join(by.select(F.col("sid").alias("a"), F.col("rep").alias("ra")), "a").join(by.select(F.col("sid").alias("b"), F.col("rep").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    found = components(edges)
-    info = by.join(near, "sid", "left").join(found, F.col("rep") == F.col("node"), "left")
-    info = info.select("sid", F.col("rep").alias("class_id"), (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_similar"), F.coalesce("component", "rep").alias("component_id"))
-    out = own.alias("d").join(info, "sid", "left")
+    own = Hidden(docs)
+    texts = own.df.select(F.col(own.of(doc_id)).cast("long").alias("doc_id"), text_of(own.of(text)).alias("t"))
+    known, classes, links = join(texts, percent)
+    by = classes.select("s0", "s1", "rep", "size")
+    both = links.unionByName(links.select(F.col("b0").alias("a0"), F.col("b1").alias("a1"), F.col("a0").alias("b0"), F.col("a1").alias("b1")))
+    near = both.join(by.select(F.col("s0").alias("b0"), F.col("s1").alias("b1"), "size"), ["b0", "b1"]).groupBy(F.col("a0").alias("s0"), F.col("a1").alias("s1")).agg(F.sum("size").alias("others"))
+    linked = by.select("s0", "s1", "rep", _name("s0", "s1").alias("node")).join(class_components(links), "node")
+    least = linked.join(linked.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("s0", "s1", "component_id")
+    info = by.join(near, ["s0", "s1"], "left").join(least, ["s0", "s1"], "left")
+    info = info.select("s0", "s1", F.col("rep").alias("class_id"), (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_similar"), F.coalesce("component_id", "rep").alias("component_id"))
+    out = known.join(info, ["s0", "s1"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("n_similar", F.lit(0)).alias("n_similar"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
@@ -252,15 +237,17 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component the row with the smallest doc_id (nulls last; among equals, the smallest hash of the row); all documents without words are kept.
 
-    Rows are told apart by a 64-bit hash of all their columns, so null and repeated doc_ids count as documents of their own.
+    Rows are told apart by a 64-bit hash of all their columns, so null and repeated doc_ids count as documents of
+    their own; rows that repeat another in all columns are one. Columns may have any names; an empty table gives no rows.
     """
-    worded = docs.filter(F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
-    wordless = docs.filter(~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
-    key = F.xxhash64(*(x for c in docs.columns for x in (F.col(c).isNull(), F.col(c))))  # a null alone doesn't change a hash
-    keyed = worded.withColumn("__key", key)
-    own, _, links = join(keyed, doc_id="__key")
-    rows = own.select(F.col("doc_id").alias("__key"), "sid").distinct().join(keyed.select("__key", "doc_id").distinct(), "__key")
-    at = rows.join(components(links), F.col("sid") == F.col("node"), "left").groupBy(F.coalesce("component", "sid"))
-    first = at.agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__key")).alias("first")).select("first.__key")
-    one = keyed.join(first, "__key").dropDuplicates(["__key"])  # rows with one hash are the same in all columns
-    return one.select(*docs.columns).unionByName(wordless)
+    own = Hidden(docs)
+    text, doc_id = own.of("text"), own.of("doc_id")
+    worded = F.coalesce(text_of(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    key = F.xxhash64(*(x for c in own.df.columns for x in (F.col(c).isNull(), F.col(c))))  # a null alone doesn't change a hash
+    keyed = own.df.withColumn("key", key)
+    known, _, links = join(keyed.select(F.col("key").alias("doc_id"), text_of(text).alias("t")))
+    rows = known.filter("n_shingles > 0").select(F.col("doc_id").alias("key"), _name("s0", "s1").alias("node")).join(keyed.select("key", F.col(doc_id).alias("id")), "key")
+    at = rows.join(class_components(links), "node", "left").groupBy(F.coalesce("component", "node"))
+    first = at.agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")).select("first.key")
+    one = keyed.filter(worded).join(first, "key").dropDuplicates(["key"])  # rows with one hash are the same in all columns
+    return own.back(one.select(*own.kept).unionByName(own.df.filter(~worded).select(*own.kept)))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import _text as tx
 from quillspark.llm import quality_rules
-from quillspark.llm._spark import load
+from quillspark.llm._spark import Hidden, load, text_of
 
 BITS, RANK, ROWS, EPOCHS = 13, 4, 3000, 120
 _DIGIT, _PUNCT = np.zeros(256, bool), np.zeros(256, bool)
@@ -48,7 +48,7 @@ def buckets(d: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The bucket of each word, in lower case, and each text's first word (n + 1 bounds)."""
     low = tx.LOWER[d]
     s, e, lo = tx.words(low, o)
-    return (tx.span_hash(tx.prefix_hash(low), s, e) >> tx.U(64 - BITS)).astype(np.int32), lo
+    return (tx.span_hash(low, s, e) >> tx.U(64 - BITS)).astype(np.int32), lo
 
 
 @dataclass
@@ -131,9 +131,10 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
 
 def learn(docs: DataFrame, labels: DataFrame, label: str, rows: int = ROWS) -> Machine:
     """Fits to the labelled documents with the smallest hashes, at most `rows`."""
-    some = labels.filter(labels[label].isNotNull()).select(labels["doc_id"].alias("__id"), labels[label].cast("int").alias("__y"))
+    known, own = Hidden(labels), Hidden(docs)
+    some = known.df.select(F.col(known.of("doc_id")).alias("__id"), F.col(known.of(label)).cast("int").alias("__y")).filter("__y IS NOT NULL")
     some = some.orderBy(F.xxhash64("__id"), "__id", "__y").limit(rows)
-    found = docs.select(docs["doc_id"].alias("__id"), docs["text"].cast("string").alias("__t")).join(F.broadcast(some), "__id").select("__t", "__y", "__id")
+    found = own.df.select(F.col(own.of("doc_id")).alias("__id"), text_of(own.of("text")).alias("__t")).join(F.broadcast(some), "__id").select("__t", "__y", "__id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -150,17 +151,17 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, rows: int = ROWS) -> M
 
 def score(docs: DataFrame, model: Machine, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """docs (the columns `keep`, or all) with `score` in place of any column so named."""
-    kept = [c for c in (docs.columns if keep is None else keep) if c != "score"]
-    source = docs.select(*(docs[c] for c in kept), docs[text].cast("string").alias("__text"))
+    own = Hidden(docs, ["score"], keep)
+    source, kept = own.df.select(*own.kept, text_of(own.of(text)).alias("t")), own.kept
     state = docs.sparkSession.sparkContext.broadcast(model)  # 2^BITS * (RANK + 1) numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            d, o = tx.text_buffer(b.column("__text"))
+            d, o = tx.text_buffer(b.column("t"))
             parts = [state.value.score(x, y) for _, _, x, y in tx.chunks(d, o)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(np.concatenate(parts) if parts else np.zeros(0))], names=[*kept, "score"])
 
-    return source.mapInArrow(run, source.drop("__text").schema.add("score", "double"))
+    return own.back(source.mapInArrow(run, source.drop("t").schema.add("score", "double")))
 
 
 def op3_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import _text as tx
-from quillspark.llm._spark import load
+from quillspark.llm._spark import Hidden, load, text_of
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters"]
 #: Rule, and when it fails. Whole numbers only, so that every engine agrees.
@@ -51,22 +51,18 @@ _LETTER[65:91] = _LETTER[97:123] = True
 def measure(d: np.ndarray, o: np.ndarray) -> list[np.ndarray]:
     """The measurements of each text, in the order of MEASURES."""
     s, e, lo = tx.words(d, o)
-    n_words, h = np.diff(lo), tx.prefix_hash(d)
+    n_words = np.diff(lo)
     chars = tx.sums(tx.IS_WORD[d] & ((d & 0xC0) != 0x80), o)
     # Lines: cut at every \n and at the ends of texts.
-    ends = np.sort(np.concatenate([np.flatnonzero(d == 10), o[1:]]), kind="stable")
-    starts = np.zeros(len(ends), np.int64)
-    starts[1:] = ends[:-1] + 1
-    llo = np.concatenate([[0], np.cumsum(tx.sums(d == 10, o) + 1)])
+    starts, ends, llo = tx.line_bounds(d, o)
     text = tx.owners(llo)
-    starts[llo[:-1]] = o[:-1]
     with_word = np.searchsorted(s, ends, "left") > np.searchsorted(s, starts, "left")
-    key = tx.mix(tx.span_hash(h, starts[with_word], ends[with_word]) + tx.mix(text[with_word].astype(np.uint64) + tx.U(1)))
+    key = tx.mix(tx.span_hash(d, starts[with_word], ends[with_word]) + tx.mix(text[with_word].astype(np.uint64) + tx.U(1)))
     owner = text[with_word]
     n_lines = np.bincount(owner, minlength=len(n_words))
     n_dup = n_lines - np.bincount(owner[np.unique(key, return_index=True)[1]], minlength=len(n_words))
     # Words inside a window of 5 that the text has twice or more.
-    g, glo = tx.grams(tx.span_hash(h, s, e), lo, 5)
+    g, glo = tx.grams(tx.span_hash(d, s, e), lo, 5)
     first = tx.owners(glo)
     at = np.arange(len(g)) - glo[first] + lo[first]
     g = tx.mix(g + tx.mix(first.astype(np.uint64) + tx.U(1)))
@@ -83,21 +79,21 @@ def measure(d: np.ndarray, o: np.ndarray) -> list[np.ndarray]:
 
 def ledger(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """docs (the columns `keep`, or all) with the measurements and `fail_bits`. One narrow pass, no shuffle."""
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in MEASURES and c != "fail_bits"]
-    source = docs.select(*(docs[c] for c in kept), docs[text].cast("string").alias("__text"))
-    schema = source.drop("__text").schema
+    own = Hidden(docs, [*MEASURES, "fail_bits"], keep)
+    source = own.df.select(*own.kept, text_of(own.of(text)).alias("t"))
+    schema, kept = source.drop("t").schema, own.kept
     for m in MEASURES:
         schema = schema.add(m, "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            d, o = tx.text_buffer(b.column("__text"))
+            d, o = tx.text_buffer(b.column("t"))
             parts = [measure(x, y) for _, _, x, y in tx.chunks(d, o)]
             cols = [np.concatenate([p[i] for p in parts]).astype(np.int64) if parts else np.zeros(0, np.int64) for i in range(len(MEASURES))]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *map(pa.array, cols)], names=[*kept, *MEASURES])
 
     bits = sum((F.when(F.expr(when), F.lit(BIT[name]).cast("long")).otherwise(F.lit(0).cast("long")) for name, when in RULES), F.lit(0).cast("long"))
-    return source.mapInArrow(run, schema).withColumn("fail_bits", bits)
+    return own.back(source.mapInArrow(run, schema).withColumn("fail_bits", bits))
 
 
 def passes(policy: str, bits: Column | None = None) -> Column:
@@ -125,11 +121,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that strict.v1 keeps, with their columns as they were."""
-    clash = [c for c in docs.columns if c in MEASURES or c == "fail_bits"]
-    source = docs.withColumns({f"__own_{c}": docs[c] for c in clash}) if clash else docs
-    led = ledger(source).filter(passes("strict.v1"))
-    return led.select(*(F.col(f"__own_{c}").alias(c) if c in clash else F.col(c) for c in docs.columns))
+    """Pipeline stage: documents that strict.v1 keeps, with their columns as they were, whatever their names. Null and empty texts fail few_words; an empty table gives no rows."""
+    own = Hidden(docs)
+    led = ledger(own.df, own.of("text")).filter(passes("strict.v1"))
+    return own.back(led)
 
 
 _W = r"[^\x20\x09-\x0D]+"
