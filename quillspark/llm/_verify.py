@@ -47,7 +47,7 @@ def shared(flat: np.ndarray, offs: np.ndarray, p: np.ndarray, q: np.ndarray) ->
     out, done = np.zeros(len(p), np.int64), np.cumsum(size[p])
     at = 0
     while at < len(p):
-        end = max(int(np.searchsorted(done, done[at] - size[p[at]] + 4 * ELEMENTS, "right")), at + 1)
+        end = max(int(np.searchsorted(done, done[at] - size[p[at]] + ELEMENTS, "right")), at + 1)
         n = size[p[at:end]]
         owner = np.repeat(np.arange(end - at), n)
         mine = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + offs[p[at:end]][owner]

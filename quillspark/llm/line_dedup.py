@@ -84,12 +84,13 @@ def blocking_keys(first: np.ndarray, key: np.ndarray, percent: int, heavy: int)
 
 
 def candidates(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """From rows (words, s0, n, bits, pos) by words, n and s0: pairs (a, b, n, m) of sets with a common key that pass the filters, each once a block. Keys whose rows aren't complete wait for the next batch."""
+    """From rows (words, s0, n, bits, pos) by words: pairs (a, b, n, m) of sets with a common key that pass the filters, each once a block. Keys whose rows aren't complete wait for the next batch."""
     held: list[np.ndarray] = []
     rows = 0
 
     def block(cols: list[np.ndarray]) -> pa.RecordBatch:
-        word, s0, n, bits, pos = cols
+        order = np.lexsort((cols[1], cols[2], cols[0]))
+        word, s0, n, bits, pos = (x[order] for x in cols)
         fresh = np.ones(len(word), bool)
         fresh[1:] = (word[1:] != word[:-1]) | (s0[1:] != s0[:-1])  # copies of a line
         word, s0, n, bits, pos = (x[fresh] for x in (word, s0, n, bits, pos))
@@ -167,8 +168,8 @@ def matches(source: DataFrame, percent: int = PERCENT) -> DataFrame:
         return [*cols, _lists(bounds, pa.array(tx.as_long(word[order]))), _lists(bounds, pa.array(pos[order].astype(np.int32)))]
 
     lines = cut(_each(source, rare, "doc_id long, key long, line long, s0 long, s1 long, n long, bits long, words array<long>, pos array<int>", each_line))
-    # One exchange brings the sets of a key together, by size.
-    entries = lines.filter(F.size("words") > 0).select("s0", "n", "bits", F.inline(F.arrays_zip("words", "pos"))).repartition("words").sortWithinPartitions("words", "n", "s0")
+    # One exchange brings the sets of a key together.
+    entries = lines.filter(F.size("words") > 0).select("s0", "n", "bits", F.inline(F.arrays_zip("words", "pos"))).repartition("words").sortWithinPartitions("words")
     found = entries.select("words", "s0", "n", "bits", "pos").mapInArrow(lambda x: candidates(x, percent), "a long, b long, n long, m long")
     pairs = cut(found.distinct())
     # Their sets come from the texts again, with the first occurrence of each.
@@ -191,7 +192,7 @@ def matches(source: DataFrame, percent: int = PERCENT) -> DataFrame:
     both = links.unionByName(links.select(F.col("b0").alias("a0"), F.col("b1").alias("a1"), F.col("a0").alias("b0"), F.col("a1").alias("b1")))
     near = both.join(sets_.select(F.col("s0").alias("b0"), F.col("s1").alias("b1"), "first"), ["b0", "b1"]).groupBy(F.col("a0").alias("s0"), F.col("a1").alias("s1")).agg(F.min("first").alias("near"))
     firsts = lines.groupBy("s0", "s1").agg(F.min(F.struct(*ID, "line")).alias("first"))
-    earliest = firsts.join(near, ["s0", "s1"], "left").select("s0", "s1", F.least("first", "near").alias("e"))
+    earliest = firsts.join(near, ["s0", "s1"], "left").select("s0", "s1", F.least("first", "near").alias("e")).hint("shuffle_hash")  # a class is one row, so the table of a partition stays small
     return lines.select(*ID, "line", "s0", "s1").join(earliest, ["s0", "s1"]).filter(F.struct(*ID, "line") > F.col("e")).select(*ID, "line")
 
 
