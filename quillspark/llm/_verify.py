@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ELEMENTS = 1 << 20
+ELEMENTS = 1 << 19
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -112,7 +112,7 @@ def verify(pairs: DataFrame, rows: DataFrame, good: Callable[[np.ndarray, np.nda
         n, both = np.diff(offs), np.zeros(len(p), np.int64)
         # Cells with most of their pairs: all at once as a product. The others' pairs: one by one, by lookup.
         pairs_of, sets_of = np.bincount(in_cell[p], minlength=number[-1] + 1), np.bincount(in_cell, minlength=number[-1] + 1)
-        dense = (pairs_of > 2 * sets_of) & (sets_of <= 2048)
+        dense = (pairs_of > 2 * sets_of) & (sets_of <= 1024)
         first = np.searchsorted(in_cell, np.arange(number[-1] + 2))
         bounds = np.searchsorted(in_cell[p], np.arange(number[-1] + 2))
         for c in np.flatnonzero(dense).tolist():

@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from quillspark.llm._spark import Hidden, load, text_of
 from quillspark.llm._unicode import LOWER, Classes
 
-CACHE, LONG = 400_000, 64
+CACHE, LONG = 150_000, 64
 _LOWER = LOWER | {0x3A3: 0x3C3}  # a capital sigma isn't final for the library
 
 
