@@ -14,8 +14,17 @@ UNITS = {"s": 1_000_000, "ms": 1_000, "us": 1}
 
 
 def stol(s: Column) -> Column:
-    """Leading sign and digits; 0 without."""
-    return F.when(s.isNotNull(), F.coalesce(F.regexp_extract(s, r"\A[+-]?[0-9]+", 0).try_cast("bigint"), F.lit(0).cast("bigint")))
+    """Leading sign and digits, wrapped to 64 bits; 0 without."""
+    digits = F.regexp_extract(s, r"\A[+-]?([0-9]+)", 1)
+    size = F.char_length(digits)
+    # Long ones: nine digits at a time, modulo 2^64.
+    parts = F.regexp_extract_all(F.lpad(digits, ((F.floor(size / 9) + 1) * 9).cast("int"), "0"), F.lit("([0-9]{9})"), 1)
+    modulus = F.lit(str(2**64)).cast("decimal(20,0)")
+    step = lambda a, x: ((a * F.lit(10**9).cast("decimal(10,0)") + x.cast("decimal(9,0)")) % modulus).cast("decimal(20,0)")
+    folded = F.aggregate(parts, F.lit(0).cast("decimal(20,0)"), step)
+    wrapped = F.when(folded >= F.lit(str(2**63)).cast("decimal(20,0)"), folded - modulus).otherwise(folded).cast("decimal(20,0)").cast("bigint")
+    value = F.when(size == 0, F.lit(0).cast("bigint")).when(size <= 18, digits.try_cast("bigint")).otherwise(wrapped)
+    return F.when(s.isNotNull(), F.when(F.startswith(s, F.lit("-")) & (value != -(2**63)), -value).otherwise(value))
 
 
 def stoi(s: Column) -> Column:
@@ -73,25 +82,24 @@ def itos(v: Column) -> Column:
 ltos = itos
 
 
+def _let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x computed once, however often f uses it."""
+    return F.get(F.transform(F.array(x), f), 0)
+
+
 def dtos(v: Column) -> Column:
     """At most 10 significant digits, one decimal at least; d.ddde+XX above 1e9 and below 1e-4."""
     a = F.abs(v)
-    exp = F.floor(F.log10(a)).cast("int")
-    exp = F.when(a / F.pow(F.lit(10.0), exp) >= 10, exp + 1).when(a / F.pow(F.lit(10.0), exp) < 1, exp - 1).otherwise(exp)
-
-    def digits(x: Column, places: Column) -> Column:
-        scaled = F.rint(x * F.pow(F.lit(10.0), places)).cast("decimal(38,0)")
-        whole = (x.cast("decimal(38,0)") * 0) + F.floor(scaled / F.pow(F.lit(10.0), places).cast("decimal(20,0)"))
-        rest = scaled - whole * F.pow(F.lit(10.0), places).cast("decimal(20,0)")
-        text = F.lpad(rest.cast("decimal(20,0)").cast("string"), places, "0")
-        text = F.regexp_replace(text, "0+$", "")
-        return F.concat(whole.cast("decimal(20,0)").cast("string"), F.lit("."), F.when(text == "", F.lit("0")).otherwise(text))
-
-    plain = digits(a, F.least(F.greatest(F.lit(9) - F.greatest(exp, F.lit(0)), F.lit(1)), F.lit(9)))
-    e = F.lpad(F.abs(exp).cast("string"), F.greatest(F.lit(2), F.char_length(F.abs(exp).cast("string"))), "0")
-    science = F.concat(digits(a / F.pow(F.lit(10.0), exp), F.lit(9)), F.when(exp < 0, F.lit("e-")).otherwise(F.lit("e+")), e)
-    body = F.when(a == 0, F.lit("0.0")).when((a > 1e9) | (a < 1e-4), science).otherwise(plain)
+    trim = lambda x: F.regexp_replace(F.regexp_replace(x, "0+$", ""), "[.]$", ".0")
+
+    def write(x: Column) -> Column:  # d.ddddddddde+XX
+        digits, e = F.concat(F.substring(x, 1, 1), F.substring(x, 3, 9)), F.substring(x, 13, 4).try_cast("int")
+        science = F.concat(trim(F.substring(x, 1, 11)), F.substr(x, F.lit(12)))
+        whole = F.when(e == 9, F.format_string("%.1f", a)).otherwise(F.concat(F.substr(digits, F.lit(1), e + 1), F.lit("."), F.substr(digits, e + 2)))
+        return F.when((a > 1e9) | (a < 1e-4), science).otherwise(trim(F.when(a < 1, F.format_string("%.9f", a)).otherwise(whole)))
+
     sign = F.when(v < 0, F.lit("-")).otherwise(F.lit(""))
+    body = F.when(a == 0, F.lit("0.0")).otherwise(_let(F.format_string("%.9e", a), write))
     return F.when(v.isNull(), F.lit(None)).when(F.isnan(v), F.lit("NaN")).when(a == float("inf"), F.concat(sign, F.lit("Inf"))).otherwise(F.concat(sign, body))
 
 
@@ -101,34 +109,26 @@ def ftos(v: Column) -> Column:
 
 
 def hash32(s: Column) -> Column:
-    """MurmurHash3 x86_32 with seed 31 over the UTF-8 bytes, from built-in functions alone."""
+    """MurmurHash3 x86_32 with seed 31 over the UTF-8 bytes, from built-in functions alone; one step for each four bytes."""
     mask = F.lit(0xFFFFFFFF)
 
-    def let(x: Column, f: Callable[[Column], Column]) -> Column:
-        return F.get(F.transform(F.array(x), f), 0)  # x is computed once, however often f uses it
-
     def mul(x: Column, b: int) -> Column:
-        return let(x, lambda a: (a * (b & 65535) + (a * (b >> 16)).bitwiseAND(65535) * 65536).bitwiseAND(mask))
+        return _let(x, lambda a: (a * (b & 65535) + (a * (b >> 16)).bitwiseAND(65535) * 65536).bitwiseAND(mask))
 
     def rot(x: Column, r: int) -> Column:
-        return let(x, lambda a: F.shiftleft(a, r).bitwiseAND(mask).bitwiseOR(F.shiftright(a, 32 - r)))
+        return _let(x, lambda a: F.shiftleft(a, r).bitwiseAND(mask).bitwiseOR(F.shiftright(a, 32 - r)))
 
     def fold(x: Column, r: int) -> Column:
-        return let(x, lambda a: a.bitwiseXOR(F.shiftright(a, r)))
+        return _let(x, lambda a: a.bitwiseXOR(F.shiftright(a, r)))
+
+    def word(x: Column) -> Column:  # up to four bytes in hexadecimal digits, the first the lowest
+        return F.conv(F.concat(*(F.substring(x, k, 2) for k in (7, 5, 3, 1))), 16, 10).cast("bigint")
 
-    h, n = F.hex(F.encode(s, "UTF-8")), F.octet_length(s)
-    byte = lambda i: F.conv(F.substr(h, (2 * i + 1).cast("int"), F.lit(2)), 16, 10).cast("bigint")
-    blocks = _i(F.floor(n / 4))
-    word = lambda b: byte(4 * b) + byte(4 * b + 1) * 256 + byte(4 * b + 2) * 65536 + byte(4 * b + 3) * 16777216
     mixed = lambda k: mul(rot(mul(k, 0xCC9E2D51), 15), 0x1B873593)
-    body = F.aggregate(
-        F.when(blocks > 0, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array().cast("array<int>")),
-        F.lit(31).cast("bigint"),
-        lambda a, b: (mul(rot(a.bitwiseXOR(mixed(word(b))), 13), 5) + 0xE6546B64).bitwiseAND(mask),
-    )
-    left, at = n % 4, 4 * blocks
-    tail = F.when(left >= 1, byte(at)).otherwise(0) + F.when(left >= 2, byte(at + 1) * 256).otherwise(0) + F.when(left >= 3, byte(at + 2) * 65536).otherwise(0)
-    x = body.bitwiseXOR(mixed(tail.cast("bigint"))).bitwiseXOR(n.cast("bigint"))
+    n, h = F.octet_length(s), F.hex(F.encode(s, "UTF-8"))
+    body = F.aggregate(F.regexp_extract_all(h, F.lit("(.{8})"), 1), F.lit(31).cast("bigint"), lambda a, x: (mul(rot(a.bitwiseXOR(mixed(word(x))), 13), 5) + 0xE6546B64).bitwiseAND(mask))
+    tail = F.when(n % 4 > 0, word(F.substr(h, ((n - n % 4) * 2 + 1).cast("int")))).otherwise(F.lit(0).cast("bigint"))
+    x = body.bitwiseXOR(mixed(tail)).bitwiseXOR(n.cast("bigint"))
     return F.when(s.isNotNull(), fold(mul(fold(mul(fold(x, 16), 0x85EBCA6B), 13), 0xC2B2AE35), 16))
 
 
@@ -136,25 +136,42 @@ def _i(x: Column) -> Column:
     return x.cast("int")
 
 
-_WIDTH = {"Y": 4, "y": 2, "m": 2, "d": 2, "H": 2, "I": 2, "M": 2, "S": 2, "f": 6, "j": 3, "p": 2, "z": 5}
+_WIDTH = {"Y": 4, "y": 2, "m": 2, "d": 2, "H": 2, "I": 2, "M": 2, "S": 2, "f": 6, "j": 3, "p": 2, "z": 5, "Z": 3, "a": 3, "b": 3, "w": 1, "U": 2, "W": 2}
+_DAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
+_MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
+
+
+def _pieces(fmt: str, units: str) -> list[tuple[str, str, int]]:
+    """(specifier or nothing, literal, width) of each part of a format. Fractions of seconds have 3, 6 or 9 digits by unit."""
+    out, i = [], 0
+    while i < len(fmt):
+        if fmt[i] != "%" or fmt[i + 1 : i + 2] == "%":
+            out.append(("", fmt[i], 1))
+            i += 1 + (fmt[i] == "%")
+            continue
+        c = fmt[i + 1 : i + 2]
+        if c not in _WIDTH and c not in ("A", "B"):
+            raise ValueError(f"unknown specifier %{c}")
+        out.append((c, "", {"ms": 3, "ns": 9}.get(units, 6) if c == "f" else _WIDTH.get(c, 0)))
+        i += 2
+    return out
 
 
 def timestamp2int(s: Column, fmt: str = "%Y-%m-%dT%H:%M:%SZ", units: str = "s") -> Column:
     """Fields at fixed places, literals unchecked, to an integer in units Y M D h m s ms us ns; 0 for empty or short text."""
     at, field, sign = 0, {}, F.lit(1)
-    i = 0
-    while i < len(fmt):
-        if fmt[i] == "%":
-            c = fmt[i + 1]
-            field[c] = F.substring(s, at + 1, _WIDTH.get(c, 2))
-            at += _WIDTH.get(c, 2)
-            i += 2
-        else:
-            at += 1
-            i += 1
+    for c, _, n in _pieces(fmt, units):
+        if c in ("A", "B"):
+            raise ValueError(f"%{c} has no fixed width, so it can't be read")
+        if c:
+            field[c] = F.substring(s, at + 1, n)
+        at += n
     num = lambda c, default: F.coalesce(field[c].try_cast("int"), F.lit(default)) if c in field else F.lit(default)
     year = num("Y", 1970) if "Y" in field else 1900 + num("y", 70)
-    month, day = num("m", 1), num("j" if "j" in field and "d" not in field else "d", 1)
+    month = num("m", 1)
+    if "b" in field and "m" not in field:
+        month = F.greatest(F.floor((F.position(F.concat(F.lit("-"), F.lower(field["b"])), F.lit("-" + "-".join(m[:3].lower() for m in _MONTHS))) + 3) / 4).cast("int"), F.lit(1))
+    day = num("j" if "j" in field and "d" not in field else "d", 1)
     hour = num("H", 0) + (num("I", 0) + (F.when(F.lower(field["p"]) == "pm", 12).otherwise(0) if "p" in field else F.lit(0)) if "I" in field else F.lit(0))
     y = F.when(month <= 2, year - 1).otherwise(year)
     era = F.floor(y / 400)
@@ -167,31 +184,32 @@ def timestamp2int(s: Column, fmt: str = "%Y-%m-%dT%H:%M:%SZ", units: str = "s")
         sign = F.when(F.substring(z, 1, 1) == "-", -1).otherwise(1)
         offset = sign * (F.coalesce(F.substring(z, 2, 2).try_cast("int"), F.lit(0)) * 3600 + F.coalesce(F.substring(z, 4, 2).try_cast("int"), F.lit(0)) * 60)
     seconds = days * 86400 + hour * 3600 + num("M", 0) * 60 + num("S", 0) + offset
-    micros = F.coalesce(F.rpad(field["f"], 6, "0").try_cast("int"), F.lit(0)) if "f" in field else F.lit(0)
+    nanos = F.coalesce(F.rpad(field["f"], 9, "0").try_cast("int"), F.lit(0)) if "f" in field else F.lit(0)
     out = {
         "Y": year, "M": (year - 1970) * 12 + month - 1, "D": days, "h": F.floor(seconds / 3600), "m": F.floor(seconds / 60), "s": seconds,
-        "ms": seconds * 1000 + F.floor(micros / 1000), "us": seconds * 1_000_000 + micros, "ns": (seconds * 1_000_000 + micros) * 1000,
+        "ms": seconds * 1000 + F.floor(nanos / 1_000_000), "us": seconds * 1_000_000 + F.floor(nanos / 1000), "ns": seconds * 1_000_000_000 + nanos,
     }[units]
     return F.when(s.isNull(), F.lit(None)).when(F.char_length(s) < max(at - 1, 1), F.lit(0).cast("bigint")).otherwise(out.cast("bigint"))
 
 
 def int2timestamp(v: Column, fmt: str = "%Y-%m-%dT%H:%M:%SZ", units: str = "s") -> Column:
-    """An integer in units D h m s ms us ns since 1970 (UTC) as text."""
+    """An integer in units M D h m s ms us ns since 1970, or in years (Y), as text in UTC. Names are English."""
     v = v.cast("bigint")
-    micros = {"D": v * 86_400_000_000, "h": v * 3_600_000_000, "m": v * 60_000_000, "s": v * 1_000_000, "ms": v * 1000, "us": v, "ns": F.floor(v / 1000).cast("bigint")}[units]
+    since = lambda months: F.datediff(F.add_months(F.lit("1970-01-01").cast("date"), months.cast("int")), F.lit("1970-01-01").cast("date")).cast("bigint") * 86_400_000_000
+    micros = {
+        "Y": lambda: since((v - 1970) * 12), "M": lambda: since(v), "D": lambda: v * 86_400_000_000, "h": lambda: v * 3_600_000_000, "m": lambda: v * 60_000_000, "s": lambda: v * 1_000_000,
+        "ms": lambda: v * 1000, "us": lambda: v, "ns": lambda: F.floor(v / 1000).cast("bigint"),
+    }[units]()
     t = F.timestamp_micros(micros)
+    fraction = F.pmod(v, F.lit({"ms": 1000, "ns": 1_000_000_000}.get(units, 1_000_000))) if units in ("ms", "ns") else F.pmod(micros, F.lit(1_000_000))
     pad = lambda x, n: F.lpad(x.cast("string"), n, "0")
+    name = lambda names, i: F.element_at(F.array(*map(F.lit, names)), i)
+    week = lambda first: F.floor((F.dayofyear(t) + 6 - F.pmod(F.weekday(t) + first, F.lit(7))) / 7)
     parts = {
-        "Y": lambda: pad(F.year(t), 4), "y": lambda: pad(F.year(t) % 100, 2), "m": lambda: pad(F.month(t), 2), "d": lambda: pad(F.day(t), 2), "H": lambda: pad(F.hour(t), 2),
-        "I": lambda: pad(F.when(F.hour(t) % 12 == 0, 12).otherwise(F.hour(t) % 12), 2), "M": lambda: pad(F.minute(t), 2), "S": lambda: pad(F.second(t), 2), "f": lambda: pad(F.pmod(micros, F.lit(1_000_000)), 6),
-        "j": lambda: pad(F.dayofyear(t), 3), "p": lambda: F.when(F.hour(t) < 12, "AM").otherwise("PM"), "z": lambda: F.lit("+0000"),
+        "Y": lambda n: pad(F.year(t), n), "y": lambda n: pad(F.year(t) % 100, n), "m": lambda n: pad(F.month(t), n), "d": lambda n: pad(F.day(t), n), "H": lambda n: pad(F.hour(t), n),
+        "I": lambda n: pad(F.when(F.hour(t) % 12 == 0, 12).otherwise(F.hour(t) % 12), n), "M": lambda n: pad(F.minute(t), n), "S": lambda n: pad(F.second(t), n), "f": lambda n: pad(fraction, n),
+        "j": lambda n: pad(F.dayofyear(t), n), "p": lambda n: F.when(F.hour(t) < 12, "AM").otherwise("PM"), "z": lambda n: F.lit("+0000"), "Z": lambda n: F.lit("UTC"),
+        "a": lambda n: name([d[:3] for d in _DAYS], F.weekday(t) + 1), "A": lambda n: name(_DAYS, F.weekday(t) + 1), "b": lambda n: name([m[:3] for m in _MONTHS], F.month(t)), "B": lambda n: name(_MONTHS, F.month(t)),
+        "w": lambda n: (F.dayofweek(t) - 1).cast("string"), "U": lambda n: pad(week(1), n), "W": lambda n: pad(week(0), n),
     }
-    out, i = [], 0
-    while i < len(fmt):
-        if fmt[i] == "%":
-            out.append(parts[fmt[i + 1]]())
-            i += 2
-        else:
-            out.append(F.lit(fmt[i]))
-            i += 1
-    return F.concat(*out)
+    return F.concat(*(parts[c](n) if c else F.lit(literal) for c, literal, n in _pieces(fmt, units)))

@@ -5,12 +5,29 @@ Positions are 0-based and count characters. A null string gives null unless said
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillspark.functions import regex
 
-_ALPHA, _DIGIT, _NUMERIC, _DECIMAL = r"\p{L}", r"\p{Nd}\x{b2}\x{b3}\x{b9}", r"\p{N}", r"\p{Nd}"
+
+
+def char_class(test: Callable[[str], bool]) -> str:
+    """The inside of a character class: the characters up to U+FFFF that pass; no predicate knows others."""
+    out: list[list[int]] = []
+    for c in range(0x10000):
+        if test(chr(c)):
+            if out and c == out[-1][1] + 1:
+                out[-1][1] = c
+            else:
+                out.append([c, c])
+    return "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in out)
+
+
+# A digit has a digit's value (superscripts and circled ones too), a number any value (fractions, Roman and Chinese ones too).
+_ALPHA, _DIGIT, _NUMERIC, _DECIMAL = map(char_class, (str.isalpha, str.isdigit, str.isnumeric, str.isdecimal))
 _SPACE = r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 BLANK = r"[\x00-\x20]+"
 
@@ -52,7 +69,7 @@ def isalpha(s: Column) -> Column:
 
 
 def isdigit(s: Column) -> Column:
-    """Digits only, superscripts included."""
+    """Digits only, superscripts and circled ones included."""
     return _all(s, _DIGIT)
 
 
@@ -101,17 +118,22 @@ def upper(s: Column) -> Column:
 
 def capitalize(s: Column) -> Column:
     """First character a capital, the rest small."""
-    return F.concat(upper(F.substring(s, 1, 1)), F.lower(F.substr(s, F.lit(2))))
+    return F.concat(_upper1(F.substring(s, 1, 1)), F.lower(F.substr(s, F.lit(2))))
+
+
+def _upper1(c: Column) -> Column:
+    """The capital of a single character."""
+    return F.when(c == "ß", c).otherwise(F.upper(c))
 
 
 def swapcase(s: Column) -> Column:
     """Capitals for small letters and the reverse."""
-    return F.array_join(F.transform(F.split(s, ""), lambda c: F.when(c == F.lower(c), upper(c)).otherwise(F.lower(c))), "")
+    return F.array_join(F.transform(F.split(s, ""), lambda c: F.when(c == F.lower(c), _upper1(c)).otherwise(F.lower(c))), "")
 
 
 def title(s: Column) -> Column:
     """Each run of letters starts with a capital, the rest is small."""
-    return F.array_join(F.transform(F.regexp_extract_all(s, F.lit(r"(\p{L}+|\P{L}+)"), 1), lambda r: F.concat(upper(F.substring(r, 1, 1)), F.lower(F.substr(r, F.lit(2))))), "")
+    return F.array_join(F.transform(F.regexp_extract_all(F.lower(s), F.lit(r"(\p{L}+|\P{L}+)"), 1), lambda r: F.concat(_upper1(F.substring(r, 1, 1)), F.substr(r, F.lit(2)))), "")
 
 
 # Combining
@@ -246,18 +268,12 @@ def zfill(s: Column, width: int) -> Column:
 
 
 def wrap(s: Column, width: int) -> Column:
-    """Greedy lines of a width: a blank becomes a line's end where the next word wouldn't fit. A fold over words, so its work is in proportion to the text."""
-    pieces = F.regexp_extract_all(F.regexp_replace(s, r"[\x00-\x20]", " "), F.lit(r"( |[^ ]+)"), 1)
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("n"), F.lit(-1).alias("at"))
-
-    def step(a: Column, x: Column) -> Column:
-        blank, size = x == " ", F.char_length(x)
-        over = ~blank & (a["n"] + size > width) & (a["at"] >= 0)
-        # Words grow the line in which the last blank at `at` may still turn into an end.
-        out = F.when(over, F.concat(F.slice(a["out"], F.lit(1), F.greatest(a["at"], F.lit(0))), F.array(F.lit("\n")), F.slice(a["out"], a["at"] + 2, F.size(a["out"]) + 1), F.array(x))).otherwise(F.concat(a["out"], F.array(x)))
-        return F.struct(out.alias("out"), F.when(over, size).otherwise(a["n"] + size).alias("n"), F.when(blank, F.size(a["out"])).when(over, F.lit(-1)).otherwise(a["at"]).alias("at"))
+    """Greedy lines of a width: of the blanks before a word that wouldn't fit, the last becomes a line's end. Longer words stay whole.
 
-    return F.array_join(F.aggregate(pieces, start, step, lambda a: a["out"]), "")
+    A line is the longest text within the width that ends a word, else a whole word, else blanks at the start; so the work is in proportion to the text.
+    """
+    line = rf"(?s)\G((?:.{{0,{max(width, 1) - 1}}}[^ ] *|[^ ]+ *)(?=\z| [^ ])| *(?= [^ ])| +(?=\z))(?: |\z)"
+    return F.array_join(F.regexp_extract_all(F.regexp_replace(s, r"[\x00-\x20]", " "), F.lit(line), 1), "\n")
 
 
 def strip(s: Column, chars: str | None = None) -> Column:
@@ -295,8 +311,12 @@ def replace_multi(s: Column, pats: list[str], repls: list[str]) -> Column:
     repls = repls * len(pats) if len(repls) == 1 else repls
     if len(repls) != len(pats):
         raise ValueError("as many replacements as targets, or one")
-    table = F.create_map(*[F.lit(x) for p, r in dict(zip(reversed(pats), reversed(repls), strict=True)).items() for x in (p, r)])
-    pieces = F.regexp_extract_all(s, F.lit("(?s)(" + "|".join(map(regex.quote, pats)) + "|.)"), 1)
+    known = dict(zip(reversed(pats), reversed(repls), strict=True))
+    if all(len(p) == 1 and len(r) <= 1 for p, r in known.items()):
+        return translate(s, known)
+    table = F.create_map(*[F.lit(x) for p, r in known.items() for x in (p, r)])
+    starts = "".join(sorted({regex.quote(p[0]) for p in pats}))
+    pieces = F.regexp_extract_all(s, F.lit("(?s)(" + "|".join(map(regex.quote, pats)) + f"|[^{starts}]+|.)"), 1)
     return F.array_join(F.transform(pieces, lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
 
 

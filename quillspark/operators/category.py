@@ -43,6 +43,18 @@ class Category:
         """Rows."""
         return self.codes.count()
 
+    def keys_type(self) -> str:
+        """The type of the keys."""
+        return self.keys.schema["key"].dataType.simpleString()
+
+    @staticmethod
+    def merge_all(first: Category, *others: Category) -> Category:
+        """Rows of all, one after another, over the sorted keys of all."""
+        out = first
+        for c in others:
+            out = out.merge_and_remap(c)
+        return out
+
     def keys_size(self) -> int:
         """Keys."""
         return self.keys.count()

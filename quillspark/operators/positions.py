@@ -2,22 +2,32 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df, computed once into the checkpoint folder of the session (a temporary one if it has none and is local)."""
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder; a temporary one, which goes when the driver ends, if it has none and is local."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         at = spark.conf.get("spark.checkpoint.dir", None)
-        if not at and not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="checkpoints-"))
+        if not at:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            at = tempfile.mkdtemp(prefix="checkpoints-")
+            atexit.register(shutil.rmtree, at, True)
+        sc.setCheckpointDir(at)
+    return sc.getCheckpointDir()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df, computed once into the checkpoint folder of the session."""
+    folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -30,11 +40,12 @@ def dense(df: DataFrame, *order: Column | str, name: str = "pos") -> DataFrame:
 
 
 def from_strings(*frames: DataFrame) -> DataFrame:
-    """The rows of all frames, one after another."""
-    out = frames[0]
-    for f in frames[1:]:
-        shift = out.agg(F.coalesce(F.max("pos") + 1, F.lit(0)).alias("__n"))
-        out = out.unionByName(f.crossJoin(F.broadcast(shift)).select((F.col("pos") + F.col("__n")).alias("pos"), "s"))
+    """The rows of all frames, one after another. Each frame is measured once, to one row."""
+    out, before = frames[0].select("pos", "s"), None
+    for last, f in zip(frames, frames[1:], strict=False):
+        own = last.agg(F.coalesce(F.max("pos") + 1, F.lit(0)).alias("__n"))
+        before = own if before is None else before.crossJoin(own.withColumnRenamed("__n", "__m")).select((F.col("__n") + F.col("__m")).alias("__n"))
+        out = out.unionByName(f.crossJoin(F.broadcast(before)).select((F.col("pos") + F.col("__n")).alias("pos"), "s"))
     return out
 
 
@@ -94,8 +105,14 @@ def remove_strings(frame: DataFrame, indexes: DataFrame) -> DataFrame:
 
 
 def slice_rows(frame: DataFrame, start: int | None = None, stop: int | None = None, step: int = 1) -> DataFrame:
-    """Rows by a Python slice with a positive step."""
-    n = frame.count() if (start or 0) < 0 or (stop or 0) < 0 else 0
+    """Rows by a Python slice; a negative step goes backwards."""
+    if step == 0:
+        raise ValueError("step is 0")
+    n = frame.count() if (start or 0) < 0 or (stop or 0) < 0 or step < 0 else 0
+    if step < 0:
+        at = range(*slice(start, stop, step).indices(n))
+        t = frame.filter((F.col("pos") <= at.start) & (F.col("pos") > at.stop) & ((at.start - F.col("pos")) % -step == 0))
+        return t.select(((F.lit(at.start) - F.col("pos")) / -step).cast("long").alias("pos"), "s")
     start, stop = (start or 0) + (n if (start or 0) < 0 else 0), (stop + n if stop is not None and stop < 0 else stop)
     t = frame.filter((F.col("pos") >= start) & ((F.col("pos") - start) % step == 0))
     t = t if stop is None else t.filter(F.col("pos") < stop)
@@ -137,19 +154,50 @@ def scatter_count(frame: DataFrame, counts: Column) -> DataFrame:
 
 
 def info(frame: DataFrame) -> DataFrame:
-    """One row of statistics; minima leave empty strings out."""
+    """One row of statistics; minima leave empty strings out. Distinct texts are counted by 128 bits of hash, so no text is shuffled."""
     s, chars, size = F.col("s"), F.char_length("s"), F.octet_length("s")
     some = s.isNotNull() & (s != "")
     n = lambda p: F.coalesce(F.sum(F.regexp_count(s, F.lit(p))), F.lit(0)).cast("long")
     return frame.agg(
         F.count(F.lit(1)).alias("total_strings"), F.count_if(s.isNull()).alias("null_strings"), F.count_if(s == "").alias("empty_strings"),
-        (F.count_distinct(s) + F.max(s.isNull().cast("int"))).cast("long").alias("unique_strings"), F.sum(size).cast("long").alias("total_bytes"), F.sum(chars).cast("long").alias("total_chars"),
+        (F.count_distinct(F.xxhash64(s), F.when(s.isNotNull(), F.xxhash64(F.lit(1), s))) + F.max(s.isNull().cast("int"))).cast("long").alias("unique_strings"), F.sum(size).cast("long").alias("total_bytes"), F.sum(chars).cast("long").alias("total_chars"),
         F.max(size).alias("bytes_max"), F.min(F.when(some, size)).alias("bytes_min"), F.max(chars).alias("chars_max"), F.min(F.when(some, chars)).alias("chars_min"),
         F.floor(F.sum(size) / F.count(s)).cast("long").alias("bytes_avg"), F.floor(F.sum(chars) / F.count(s)).cast("long").alias("chars_avg"),
         n(r"[\x09-\x0d\x20]").alias("whitespace_count"), n("[0-9]").alias("digits_count"), n(r"\p{Lu}").alias("uppercase_count"), n(r"\p{Ll}").alias("lowercase_count"),
     )
 
 
+def bytes_total(frame: DataFrame) -> DataFrame:
+    """One row: n, the UTF-8 bytes of all rows."""
+    return frame.agg(F.coalesce(F.sum(F.octet_length("s")), F.lit(0)).cast("long").alias("n"))
+
+
+def memory(frame: DataFrame) -> DataFrame:
+    """One row: n, the bytes of all rows in a layout of a pointer each and, for those that aren't null, a header of 8 bytes and the text, to a multiple of 8."""
+    own = F.ceil((F.octet_length("s") + 8) / 8) * 8
+    return frame.agg(F.coalesce(F.sum(8 + F.coalesce(own, F.lit(0))), F.lit(0)).cast("long").alias("n"))
+
+
+def nulls(frame: DataFrame, empty_is_null: bool = False) -> DataFrame:
+    """(pos) of the rows that are null, or empty if that counts."""
+    from quillspark.functions import strings
+
+    return frame.filter(strings.is_null(F.col("s"), empty_is_null)).select("pos")
+
+
+def null_bitmask(frame: DataFrame) -> DataFrame:
+    """(byte, mask): bit k of byte i is set when row 8 i + k isn't null."""
+    bit = F.when(F.col("s").isNotNull(), F.element_at(F.array(*(F.lit(1 << k) for k in range(8))), (F.col("pos") % 8 + 1).cast("int"))).otherwise(F.lit(0))
+    return frame.groupBy(F.floor(F.col("pos") / 8).alias("byte")).agg(F.sum(bit).cast("int").alias("mask"))
+
+
+def unique_tokens(frame: DataFrame, delimiter: str | None = None) -> DataFrame:
+    """(pos, s): the distinct tokens of all rows, sorted."""
+    from quillspark.functions import text
+
+    return dense(frame.select(F.explode(text.tokens(F.col("s"), delimiter)).alias("s")).distinct(), "s").select("pos", "s")
+
+
 def histogram(frame: DataFrame) -> DataFrame:
     """(char, n): how often each character occurs."""
     return frame.select(F.explode(F.split("s", "")).alias("char")).filter("char <> ''").groupBy("char").agg(F.count(F.lit(1)).alias("n"))

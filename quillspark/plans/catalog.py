@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,7 @@ from quillspark.functions import strings as S
 from quillspark.functions import text as T
 from quillspark.operators import positions as P
 from quillspark.operators.category import Category
+from quillspark.sources import columns
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -64,14 +66,40 @@ def _part(name: str, value: Callable[[Column], Column | list[Column]], sql: str
 _docs("q_len", S.length, "length({s})::INTEGER")
 _docs("q_byte_count", S.byte_count, "strlen({s})::INTEGER")
 _docs("q_is_empty", lambda s: S.is_empty(F.nullif(s, F.lit("That it."))), "nullif({s}, 'That it.') = ''")
-_part("q_hash", C.hash32, None)
-for _n, _f, _p in (("isalnum", S.isalnum, r"\p{L}\p{N}"), ("isalpha", S.isalpha, r"\p{L}"), ("isdigit", S.isdigit, r"\p{Nd}\x{b2}\x{b3}\x{b9}"), ("isdecimal", S.isdecimal, r"\p{Nd}"), ("isnumeric", S.isnumeric, r"\p{N}")):
-    _docs(f"q_{_n}", lambda s, f=_f: f(F.substring_index(s, " ", 1)), f"regexp_full_match(string_split({{s}}, ' ')[1], '[{_p}]+')")
-_docs("q_isspace", lambda s: S.isspace(F.substring(s, 5, 1)), r"regexp_full_match(substring({s}, 5, 1), '[\x09-\x0d\x1c-\x20\x{85}\x{a0}]+')")
-# The whole text, and how many of its tokens (characters, for isspace) hold; q_isalnum to q_isspace above look at one token of it.
-for _n, _f, _p in (("isalnum", S.isalnum, r"\p{L}\p{N}"), ("isalpha", S.isalpha, r"\p{L}"), ("isdigit", S.isdigit, r"\p{Nd}\x{b2}\x{b3}\x{b9}"), ("isdecimal", S.isdecimal, r"\p{Nd}"), ("isnumeric", S.isnumeric, r"\p{N}"), ("isspace", S.isspace, r"\x09-\x0d\x1c-\x20\x{85}\x{a0}")):
-    _by = "" if _n == "isspace" else " "
-    _docs(f"q_{_n}_whole", lambda s, f=_f, by=_by: [f(s), F.size(F.filter(F.split(s, by), f))], [f"regexp_full_match({{s}}, '[{_p}]+')", f"len(list_filter(string_split({{s}}, '{_by}'), lambda x: regexp_full_match(x, '[{_p}]+')))::INTEGER"])
+_M = "4294967295::UBIGINT"
+_WORDS = "regexp_extract_all(hex(encode({s})), '.{{8}}')"
+_LE = "('0x' || {x}[7:8] || {x}[5:6] || {x}[3:4] || {x}[1:2])::UBIGINT"
+
+
+def _rot(x: str, r: int) -> str:
+    return f"((({x}) << {r}) & {_M} | (({x}) >> {32 - r}))"
+
+
+def _mix(x: str) -> str:
+    return f"(({_rot(f'(({x}) * 3432918353::UBIGINT & {_M})', 15)} * 461845907::UBIGINT) & {_M})"
+
+
+def _fin(x: str, shift: int, by: int) -> str:
+    return f"((xor({x}, ({x}) >> {shift}) * {by}::UBIGINT) & {_M})"
+
+
+_BODY = f"list_reduce(list_prepend(31::UBIGINT, list_transform(w, lambda x: {_mix(_LE.replace('{x}', 'x'))})), lambda a, k: ({_rot('xor(a, k)', 13)} * 5 + 3864292196) & {_M})"
+_TAIL = f"CASE WHEN n % 4 = 0 THEN 0 ELSE {_mix(_LE.replace('{x}', 'rpad(t, 8, chr(48))'))} END"
+_docs("q_hash", C.hash32, None)
+ORACLE_SQL["q_hash"] = f"""
+WITH b AS (SELECT doc_id, strlen(text)::UBIGINT AS n, hex(encode(text)) AS h FROM documents),
+c AS (SELECT doc_id, n, regexp_extract_all(h, '.{{8}}') AS w, right(h, (n % 4 * 2)::BIGINT) AS t FROM b),
+d AS (SELECT doc_id, xor(xor({_BODY}, {_TAIL}), n) AS x FROM c), e AS (SELECT doc_id, {_fin('x', 16, 2246822507)} AS x FROM d), f AS (SELECT doc_id, {_fin('x', 13, 3266489909)} AS x FROM e)
+SELECT doc_id, xor(x, x >> 16)::BIGINT AS v FROM f"""
+# The whole text, and how many of its tokens (characters, for isspace) hold.
+for _n, _f in (("isalnum", S.isalnum), ("isalpha", S.isalpha), ("isdigit", S.isdigit), ("isdecimal", S.isdecimal), ("isnumeric", S.isnumeric), ("isspace", S.isspace)):
+    _by, _p = "" if _n == "isspace" else " ", S.char_class(getattr(str, _n))
+    _docs(f"q_{_n}", lambda s, f=_f, by=_by: [f(s), F.size(F.filter(F.split(s, by), f))], [f"regexp_full_match({{s}}, '[{_p}]+')", f"len(list_filter(string_split({{s}}, '{_by}'), lambda x: regexp_full_match(x, '[{_p}]+')))::INTEGER"])
+    # Every character of all texts, as a string of its own.
+    _add(
+        f"q_{_n}_chars", lambda s, d, f=_f: table(s, d, "documents").select(F.explode(F.array_distinct(F.split("text", ""))).alias("c")).filter("c <> ''").distinct().select("c", f(F.col("c")).alias("v")),
+        f"SELECT c, regexp_full_match(c, '[{_p}]') AS v FROM (SELECT DISTINCT unnest(string_split(text, '')) AS c FROM documents) WHERE c <> ''",
+    )
 _docs("q_islower", S.islower, r"{s} <> '' AND NOT regexp_matches({s}, '\p{Lu}|\p{Lt}|\p{Lm}|\p{Lo}')")
 _docs("q_isupper", S.isupper, r"{s} <> '' AND NOT regexp_matches({s}, '\p{Ll}|\p{Lt}|\p{Lm}|\p{Lo}')")
 _add("q_null_count", lambda s, d: table(s, d, "documents").agg(F.count_if(S.is_null(F.nullif("text", F.lit("That it.")), True)).alias("n")), "SELECT count_if(nullif(text, 'That it.') IS NULL OR text = '')::BIGINT AS n FROM documents")
@@ -103,6 +131,17 @@ _project("q_ftos", "lineitem", "l_orderkey,l_linenumber", "l_quantity", lambda c
 _project("q_int2timestamp", "orders", "o_orderkey", "o_orderdate", lambda c: C.int2timestamp(F.unix_seconds(c.cast("timestamp"))), "strftime({s}, '%Y-%m-%dT%H:%M:%SZ')")
 _project("q_timestamp2int", "orders", "o_orderkey", "o_orderdate", lambda c: C.timestamp2int(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")), "floor(epoch({s}))::BIGINT")
 
+_project("q_stol_long", "orders", "o_orderkey", "o_orderkey", lambda c: C.stol(F.concat(F.when(c % 2 == 0, "-").otherwise("+"), F.repeat(c.cast("string"), 4), F.lit("x"))), "(CASE WHEN {s} % 2 = 0 THEN -1 ELSE 1 END * (repeat({s}::VARCHAR, 4)::HUGEINT % 18446744073709551616 - CASE WHEN repeat({s}::VARCHAR, 4)::HUGEINT % 18446744073709551616 >= 9223372036854775808 THEN 18446744073709551616 ELSE 0 END))::BIGINT")
+_E = "regexp_replace(regexp_replace(regexp_extract(printf('%.9e', {x}), '^[^e]+'), '0+$', ''), '[.]$', '.0') || regexp_extract(printf('%.9e', {x}), 'e.*$')"
+_project("q_dtos_scientific", "lineitem", "l_orderkey,l_linenumber", "l_extendedprice", lambda c: [C.dtos(c * 1e9), C.dtos(c * -1e-12)], [_E.replace("{x}", "({s} * 1e9)"), "'-' || " + _E.replace("{x}", "({s} * 1e-12)")])
+_FMT = "%A, %d %B %Y (%a %b) %j %U %W %w %I %p %y %Z%%"
+_project("q_int2timestamp_names", "orders", "o_orderkey", "o_orderdate", lambda c: C.int2timestamp(F.unix_seconds(c.cast("timestamp")) + F.col("o_orderkey") % 86400, _FMT), f"strftime({{s}}::TIMESTAMP + to_seconds(o_orderkey % 86400), '{_FMT.replace('%Z', 'UTC')}')")
+_project("q_int2timestamp_units", "orders", "o_orderkey", "o_orderdate", lambda c: [C.int2timestamp(F.year(c), units="Y"), C.int2timestamp((F.year(c) - 1970) * 12 + F.month(c) - 1, units="M"), C.int2timestamp(F.col("o_orderkey") * 1_000_003, "%H:%M:%S.%f", "ns"), C.int2timestamp(F.col("o_orderkey") * 1003, "%S,%f", "ms")],
+         ["strftime(date_trunc('year', {s}), '%Y-%m-%dT%H:%M:%SZ')", "strftime(date_trunc('month', {s}), '%Y-%m-%dT%H:%M:%SZ')", "strftime(make_timestamp((o_orderkey * 1000003) // 1000), '%H:%M:%S.') || lpad(((o_orderkey * 1000003) % 1000000000)::VARCHAR, 9, '0')", "strftime(make_timestamp(o_orderkey * 1003000), '%S,') || lpad(((o_orderkey * 1003) % 1000)::VARCHAR, 3, '0')"])
+_project("q_timestamp2int_formats", "orders", "o_orderkey", "o_orderdate", lambda c: [C.timestamp2int(F.date_format(c, "dd MMM yyyy"), "%d %b %Y", "D"), C.timestamp2int(F.concat(F.date_format(c, "yyMM"), F.lit("05 03:04 PM -0130")), "%y%m%d %I:%M %p %z", "m"), C.timestamp2int(F.date_format(c, "MM/dd/yyyy"), "%m/%d/%Y", "M"), C.timestamp2int(F.concat(F.date_format(c, "yyyy-MM-dd"), F.lit(" 01:02:03.123456789")), "%Y-%m-%d %H:%M:%S.%f", "ns")],
+         ["({s}::DATE - DATE '1970-01-01')::BIGINT", "((epoch(make_date(1900 + year({s})::INT % 100, month({s})::INT, 5))::BIGINT + 15 * 3600 + 240 - 5400) // 60)::BIGINT", "((year({s}) - 1970) * 12 + month({s}) - 1)::BIGINT", "((epoch({s})::BIGINT + 3723) * 1000000000 + 123456789)::BIGINT"])
+_project("q_ip2int_odd", "orders", "o_orderkey", "o_orderkey", lambda c: C.ip2int(F.when(c % 4 == 0, F.concat(c.cast("string"), F.lit(".2.3"))).when(c % 4 == 1, F.lit("10.x1.300.7")).when(c % 4 == 2, F.concat(F.lit("1.2.3."), (c % 256).cast("string")))), "CASE {s} % 4 WHEN 0 THEN 0 WHEN 1 THEN 10 * 16777216 + 65536 + 300 * 256 + 7 WHEN 2 THEN 16909056 + {s} % 256 END::BIGINT")
+
 # Case
 _U = "array_to_string(list_transform(string_split({x}, 'ß'), lambda y: upper(y)), 'ß')"
 _docs("q_lower", S.lower, "lower({s})")
@@ -118,8 +157,6 @@ _add("q_cat_frames", lambda s, d: P.cat(*(table(s, d, "customer").select(F.col("
 _docs("q_split_record", lambda s: F.array_join(S.split_record(s, ", ", 3), "|"), "array_to_string(CASE WHEN len(string_split({s}, ', ')) <= 4 THEN string_split({s}, ', ') ELSE list_append(string_split({s}, ', ')[1:3], array_to_string(string_split({s}, ', ')[4:], ', ')) END, '|')")
 _docs("q_split_blanks", lambda s: F.array_join(S.split_record(s), "|"), f"array_to_string(CASE WHEN len({_TOK}) = 0 THEN [''] ELSE {_TOK} END, '|')")
 _docs("q_rsplit_record", lambda s: F.array_join(S.rsplit_record(s, " ", 1), "|"), "CASE WHEN contains({s}, ' ') THEN array_to_string(string_split({s}, ' ')[:-2], ' ') || '|' || string_split({s}, ' ')[-1] ELSE {s} END")
-_part("q_split", lambda s: S.split(s, 3, " "), [f"string_split({{s}}, ' ')[{i}]" for i in (1, 2, 3)])
-_part("q_rsplit", lambda s: [F.get(F.reverse(S.rsplit_record(s, " ", -1)), i) for i in range(2)], ["string_split({s}, ' ')[-1]", "string_split({s}, ' ')[-2]"])
 _docs("q_partition", lambda s: [F.get(S.partition(s, ", "), i) for i in range(3)], [f"CASE WHEN strpos({{s}}, ', ') = 0 THEN {a} ELSE {b} END" for a, b in (("{s}", "left({s}, strpos({s}, ', ') - 1)"), ("''", "', '"), ("''", "substring({s}, strpos({s}, ', ') + 2)"))])
 _docs("q_rpartition", lambda s: [F.get(S.rpartition(s, " "), i) for i in range(3)], [f"CASE WHEN strpos({{s}}, ' ') = 0 THEN {a} ELSE {b} END" for a, b in (("''", "left({s}, length({s}) - strpos(reverse({s}), ' '))"), ("''", "' '"), ("{s}", "right({s}, strpos(reverse({s}), ' ') - 1)"))])
 
@@ -137,7 +174,7 @@ _part("q_ljust", lambda s: S.ljust(s, 60, "é"), _PAD.replace("{x}", "rpad({s},
 _part("q_rjust", lambda s: S.rjust(s, 60), _PAD.replace("{x}", "lpad({s}, 60, ' ')"))
 _part("q_center", lambda s: S.center(s, 60, "."), _PAD.replace("{x}", "repeat('.', ((60 - length({s})) // 2)::INT) || {s} || repeat('.', (60 - length({s}) - (60 - length({s})) // 2)::INT)"))
 _project("q_zfill", "orders", "o_orderkey", "o_orderkey", lambda c: S.zfill(F.when(c % 2 == 0, F.concat(F.lit("-"), c.cast("string"))).otherwise(c.cast("string")), 12), "CASE WHEN {s} % 2 = 0 THEN '-' || lpad({s}::VARCHAR, 11, '0') ELSE lpad({s}::VARCHAR, 12, '0') END")
-_part("q_wrap", lambda s: S.wrap(s, 12), None)
+_docs("q_wrap", lambda s: S.wrap(s, 40), r"list_reduce(string_split(regexp_replace({s}, '[\x00-\x20]', ' ', 'g'), ' '), lambda a, x: a || CASE WHEN x <> '' AND (CASE WHEN strpos(reverse(a), chr(10)) = 0 THEN length(a) ELSE strpos(reverse(a), chr(10)) - 1 END) + 1 + length(x) > 40 THEN chr(10) ELSE ' ' END || x)")
 _docs("q_lstrip", lambda s: S.lstrip(s, "TEIthe "), "ltrim({s}, 'TEIthe ')")
 _docs("q_strip", lambda s: S.strip(s, ".Ter \n"), "trim({s}, '.Ter ' || chr(10))")
 _docs("q_rstrip", lambda s: S.rstrip(s, ".nd "), "rtrim({s}, '.nd ')")
@@ -152,6 +189,7 @@ _docs("q_backrefs", lambda s: S.replace_with_backrefs(s, "([a-z])([0-9])", r"\2-
 _docs("q_fillna", lambda s: S.fillna(F.nullif(s, F.lit("That it.")), "none"), "coalesce(nullif({s}, 'That it.'), 'none')")
 _docs("q_translate", lambda s: S.translate(s, {"a": None, "e": "E", "i": "I"}), "translate({s}, 'eia', 'EI')")
 _project("q_url_encode", "pages", "page_id", "url", S.url_encode, "url_encode({s})")
+_project("q_url_decode_odd", "pages", "page_id", "page_id", lambda c: S.url_decode(F.concat(F.lit("a+b%"), F.when(c % 2 == 0, F.lit("41%C3%A9")).otherwise(F.lit("zz")), c.cast("string"))), "CASE WHEN {s} % 2 = 0 THEN 'a+bAé' ELSE 'a+b%zz' END || {s}::VARCHAR")
 _project("q_url_decode", "pages", "page_id", "url", lambda s: S.url_decode(S.url_encode(s)), "{s}")
 
 # Searching
@@ -170,7 +208,6 @@ _docs("q_count", lambda s: S.count(s, "e[nr]"), "len(regexp_extract_all({s}, 'e[
 _docs("q_startswith", lambda s: S.startswith(s, "The"), "starts_with({s}, 'The')")
 _docs("q_endswith", lambda s: S.endswith(s, "."), "ends_with({s}, '.')")
 _docs("q_findall_record", lambda s: F.array_join(S.findall_record(s, "th[a-z]"), "|"), "array_to_string(regexp_extract_all({s}, 'th[a-z]'), '|')")
-_docs("q_findall", lambda s: S.findall(s, "th[a-z]", 2), ["regexp_extract_all({s}, 'th[a-z]')[1]", "regexp_extract_all({s}, 'th[a-z]')[2]"])
 
 
 def _long(name: str, source: str, key: str, column: str, value: Callable[[Column], Column], sql: str) -> None:
@@ -178,9 +215,9 @@ def _long(name: str, source: str, key: str, column: str, value: Callable[[Column
     _add(name, lambda s, d: table(s, d, source).select(key, F.posexplode(value(F.col(column))).alias("k", "v")), f"SELECT {key}, (i - 1)::INTEGER AS k, m[i] AS v FROM (SELECT {key}, {sql.replace('{s}', column)} AS m FROM {source}), unnest(range(1, len(m) + 1)) AS t(i)")
 
 
-_long("q_findall_long", "documents", "doc_id", "text", lambda s: S.findall_record(s, "th[a-z]"), "regexp_extract_all({s}, 'th[a-z]')")
-_long("q_split_long", "part", "p_partkey", "p_name", lambda s: S.split_record(s, " "), "string_split({s}, ' ')")
-_long("q_rsplit_long", "part", "p_partkey", "p_name", lambda s: F.reverse(S.rsplit_record(s, " ")), "list_reverse(string_split({s}, ' '))")
+_long("q_findall", "documents", "doc_id", "text", lambda s: S.findall_record(s, "th[a-z]"), "regexp_extract_all({s}, 'th[a-z]')")
+_long("q_split", "part", "p_partkey", "p_name", lambda s: S.split_record(s, " "), "string_split({s}, ' ')")
+_long("q_rsplit", "part", "p_partkey", "p_name", lambda s: F.reverse(S.rsplit_record(s, " ")), "list_reverse(string_split({s}, ' '))")
 _X = "nullif(regexp_extract({s}, '([a-z]+)://([^/]+)', {g}), '')"
 _project("q_extract", "pages", "page_id", "url", lambda s: S.extract(s, "([a-z]+)://([^/]+)"), [_X.replace("{g}", "1"), _X.replace("{g}", "2")])
 _project("q_extract_record", "pages", "page_id", "url", lambda s: F.array_join(S.extract_record(s, "([a-z]+)://([^/]+)"), "|"), f"{_X.replace('{g}', '1')} || '|' || {_X.replace('{g}', '2')}")
@@ -196,7 +233,7 @@ _docs("q_tokens_counts", lambda s: [F.get(T.tokens_counts(s, ["the", "der"]), i)
 _docs("q_replace_tokens", lambda s: T.replace_tokens(s, ["the", "of"], ["1", "2"]), r"array_to_string(list_transform(regexp_extract_all({s}, '[\x00-\x20]+|[^\x00-\x20]+'), lambda x: CASE x WHEN 'the' THEN '1' WHEN 'of' THEN '2' ELSE x END), '')")
 _docs("q_normalize_spaces", T.normalize_spaces, r"trim(regexp_replace({s}, '[\x00-\x20]+', ' ', 'g'))")
 _part("q_edit_distance", lambda s: T.edit_distance(s, F.col("p_type")), "levenshtein({s}, p_type)::INTEGER")
-_part("q_stemmer_measure", T.porter_stemmer_measure, None)
+_docs("q_stemmer_measure", T.porter_stemmer_measure, "len(regexp_extract_all(array_to_string(list_transform(string_split({s}, ''), lambda c, i: CASE WHEN contains('aeiou', c) THEN 'V' WHEN c <> 'y' OR i = 1 OR contains('aeiou', {s}[i - 1]) THEN 'C' ELSE 'V' END), ''), 'V+C'))::INTEGER")
 
 
 def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,6 +275,35 @@ _add("q_add_strings", lambda s, d: P.add_strings(_names(s, d), table(s, d, "nati
 _add("q_slice_rows", lambda s, d: P.slice_rows(_names(s, d), 10, None, 7), "SELECT ((c_custkey - 10) // 7)::BIGINT AS pos, c_name AS s FROM customer WHERE c_custkey >= 10 AND (c_custkey - 10) % 7 = 0")
 
 
+_add("q_slice_rows_back", lambda s, d: P.slice_rows(_names(s, d), None, None, -3), "SELECT ((n - c_custkey) // 3)::BIGINT AS pos, c_name AS s FROM customer, (SELECT max(c_custkey) AS n FROM customer) WHERE (n - c_custkey) % 3 = 0")
+_add("q_bytes_total", lambda s, d: P.bytes_total(_segments(s, d)), f"SELECT sum(strlen(s))::BIGINT AS n FROM ({_SEG})")
+_add("q_memory", lambda s, d: P.memory(_segments(s, d)), f"SELECT sum(8 + coalesce(ceil((strlen(s) + 8) / 8) * 8, 0))::BIGINT AS n FROM ({_SEG})")
+_add("q_nulls", lambda s, d: P.nulls(_segments(s, d)), f"SELECT pos FROM ({_SEG}) WHERE s IS NULL")
+_add("q_null_bitmask", lambda s, d: P.null_bitmask(_segments(s, d)), f"SELECT pos // 8 AS byte, sum(CASE WHEN s IS NULL THEN 0 ELSE 1 << (pos % 8)::INT END)::INTEGER AS mask FROM ({_SEG}) GROUP BY ALL")
+_add("q_unique_tokens_sorted", lambda s, d: P.unique_tokens(_names(s, d), "0"), "SELECT row_number() OVER (ORDER BY s) - 1 AS pos, s FROM (SELECT DISTINCT unnest(list_filter(string_split(c_name, '0'), lambda x: x <> '')) AS s FROM customer)")
+_add("q_from_strings", lambda s, d: P.from_strings(*[_segments(s, d)] * 3), f"SELECT pos + k * (SELECT max(pos) + 1 FROM ({_SEG})) AS pos, s FROM ({_SEG}), range(3) t(k)")
+
+
+# Sources and sinks: a small table through the driver, as these do by nature.
+def _nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("pos"), F.nullif("n_name", F.lit("CHINA")).alias("s"))
+
+
+_NAT = "SELECT n_nationkey::BIGINT AS pos, nullif(n_name, 'CHINA') AS s FROM nation"
+_add("q_to_host", lambda s, d: columns.to_frame(s, columns.to_host(_nations(s, d))), _NAT)
+_add("q_from_offsets", lambda s, d: columns.from_offsets(s, *columns.to_offsets(_nations(s, d))), _NAT)
+
+
+def _csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = f"{P.folder(spark)}/csv-{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", F.concat("n_name", F.lit(' "x", y')).alias("name"))
+    rows.coalesce(1).sortWithinPartitions("n_nationkey").write.option("header", True).option("escape", '"').csv(at)
+    return columns.from_csv(spark, at, 1)
+
+
+_add("q_from_csv", _csv, "SELECT n_nationkey::BIGINT AS pos, n_name || ' \"x\", y' AS s FROM nation")
+
+
 # Categories
 def _cat(spark: SparkSession, sf_dir: str, which: str = "c") -> Category:
     if which == "c":
@@ -280,4 +346,38 @@ for _n, _t, _k, _c in (("int", "part", "p_partkey", "p_size"), ("long", "lineite
     def _num(s: SparkSession, d: str, t: str = _t, k: str = _k, c: str = _c, n: str = _n) -> DataFrame:
         return Category.encode(table(s, d, t).select(F.expr(k).alias("pos"), F.col(c).cast(n).alias("s"))).codes
 
+    QUERIES[f"q_numcat_decode_{_n}"] = lambda s, d, t=_t, k=_k, c=_c, n=_n: Category.encode(table(s, d, t).select(F.expr(k).alias("pos"), F.col(c).cast(n).alias("s"))).decode()
+    ORACLE_SQL[f"q_numcat_decode_{_n}"] = f"SELECT {_k} AS pos, {_c}{_kind} AS key FROM {_t}"
     _add(f"q_numcat_{_n}", _num, f"SELECT {_k} AS pos, dense_rank() OVER (ORDER BY {_c}{_kind} NULLS FIRST) - 1 AS code FROM {_t}")
+
+
+def _sizes(spark: SparkSession, sf_dir: str, kind: str = "byte") -> Category:
+    return Category.encode(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pos"), F.col("p_size").cast(kind).alias("s")))
+
+
+def _dates(spark: SparkSession, sf_dir: str) -> Category:
+    return Category.encode(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pos"), F.col("o_orderdate").cast("timestamp").alias("s")))
+
+
+_SIZES = "SELECT row_number() OVER (ORDER BY p_size) - 1 AS code, p_size::TINYINT AS key FROM (SELECT DISTINCT p_size FROM part)"
+_add("q_numcat_int8", lambda s, d: _sizes(s, d).codes, "SELECT p_partkey AS pos, dense_rank() OVER (ORDER BY p_size) - 1 AS code FROM part")
+_add("q_numcat_datetime", lambda s, d: _dates(s, d).codes, "SELECT o_orderkey AS pos, dense_rank() OVER (ORDER BY o_orderdate) - 1 AS code FROM orders")
+_add("q_numcat_gather", lambda s, d: _sizes(s, d).gather_strings(_gi(s, d)), f"SELECT pos, key FROM ({_GI}) JOIN ({_SIZES}) USING (code)")
+_add("q_numcat_merge", lambda s, d: _sizes(s, d, "int").merge_and_remap(Category.encode(table(s, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), F.col("l_linenumber").cast("int").alias("s")))).codes, "SELECT pos, dense_rank() OVER (ORDER BY s) - 1 AS code FROM (SELECT p_partkey AS pos, p_size AS s FROM part UNION ALL SELECT l_orderkey * 10 + l_linenumber + (SELECT max(p_partkey) + 1 FROM part), l_linenumber FROM lineitem)")
+_add("q_numcat_values", lambda s, d: _sizes(s, d).gather_values(_gi(s, d).select("pos", (F.col("code") + 1).alias("index"))), f"SELECT pos, p_size::TINYINT AS key FROM ({_GI}) JOIN part ON p_partkey = code + 1")
+_add("q_cat_merge_all", lambda s, d: Category.merge_all(_cat(s, d), _cat(s, d, "o"), _cat(s, d)).codes, f"SELECT pos, {_RANK} AS code FROM ({_BOTH} UNION ALL SELECT pos + (SELECT max(c_custkey) + 1 FROM customer) + (SELECT max(o_orderkey) + 1 FROM orders), s, 2 FROM ({_SEG}))")
+_add("q_cat_sizes", lambda s, d: s.createDataFrame([(_cat(s, d).size(), _cat(s, d).keys_size(), _cat(s, d).value("MACHINERY"), _cat(s, d).value_for_index(2), _sizes(s, d).keys_type(), _cat(s, d).keys_have_null())], "size long, keys long, value long, row long, type string, null boolean"), f"""
+WITH k AS ({ORACLE_SQL['q_cat_keys']}) SELECT (SELECT count(*) FROM customer) AS size, (SELECT count(*) FROM k) AS keys, (SELECT code FROM k WHERE key = 'MACHINERY') AS value,
+  (SELECT code FROM ({_SEG}) t JOIN k ON t.s IS NOT DISTINCT FROM k.key WHERE pos = 2) AS row, 'tinyint' AS type, (SELECT count_if(key IS NULL) > 0 FROM k) AS null""")
+
+
+# Columns with nulls and empty texts.
+_SPARSE = "CASE WHEN doc_id % 5 = 1 THEN '' WHEN doc_id % 5 > 0 THEN text END"
+for _n, _f, _sql in (
+    ("lower", S.lower, "lower({s})"), ("upper", S.upper, _U.replace("{x}", "{s}")), ("title", S.title, None), ("len", S.length, "length({s})::INTEGER"), ("strip", lambda s: S.strip(s, ".Ter "), "trim({s}, '.Ter ')"),
+    ("replace", lambda s: S.replace(s, "[aeiou]+", "*"), "regexp_replace({s}, '[aeiou]+', '*', 'g')"), ("translate", lambda s: S.translate(s, {"a": None, "e": "E"}), "translate({s}, 'ea', 'E')"), ("find", lambda s: S.find(s, "e"), "(strpos({s}, 'e') - 1)::INTEGER"),
+    ("contains", lambda s: S.contains(s, "token", False), "contains({s}, 'token')"), ("count", lambda s: S.count(s, "e[nr]"), "coalesce(len(regexp_extract_all({s}, 'e[nr]')), 0)::INTEGER"), ("token_count", lambda s: T.token_count(s, " "), f"len({_SP})::INTEGER"),
+    ("stol", C.stol, "CASE WHEN {s} IS NOT NULL THEN coalesce(try_cast(regexp_extract({s}, '^[+-]?[0-9]+') AS BIGINT), 0) END"), ("isalpha", S.isalpha, r"regexp_full_match({s}, '\p{L}+')"), ("wrap", lambda s: S.wrap(s, 40), None), ("hash", C.hash32, None), ("slice", lambda s: S.slice_(s, 2, 9), "substring({s}, 3, 7)"),
+):
+    _of = {"title": ORACLE_SQL["q_title"], "wrap": ORACLE_SQL["q_wrap"], "hash": ORACLE_SQL["q_hash"]}.get(_n)
+    _add(f"q_{_n}_nulls", lambda s, d, f=_f: table(s, d, "documents").select("doc_id", f(F.expr(_SPARSE)).alias("v")), _of.replace("FROM documents", f"FROM (SELECT doc_id, {_SPARSE} AS text FROM documents)") if _of else f"SELECT doc_id, {_sql.replace('{s}', f'({_SPARSE})')} AS v FROM documents")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +26,8 @@ def from_csv(spark: SparkSession, path: str, column: int, lines: int = 0, sort_l
     raw = spark.read.option("header", True).option("escape", '"').option("emptyValue", "").option("nullValue", "\x00").csv(path)
     s = F.col(f"`{raw.columns[column]}`").cast("string")
     s = F.coalesce(s, F.lit("")) if keep_empty else F.nullif(s, F.lit(""))
-    t = raw.select(F.monotonically_increasing_id().alias("__at"), s.alias("s"))
+    # Places in the folder: files by name, blocks by place, rows in the order of the scan.
+    t = raw.select(F.struct(F.input_file_name(), F.input_file_block_start(), F.monotonically_increasing_id()).alias("__at"), s.alias("s"))
     t = t.orderBy("__at").limit(lines) if lines else t
     keys = [F.octet_length("s").asc_nulls_first()] * sort_length + [F.col("s").asc_nulls_first()] * sort_name
     return dense(t, *keys, F.col("__at")).select("pos", "s")
@@ -38,12 +41,7 @@ def from_offsets(spark: SparkSession, data: bytes, offsets: list[int], validity:
 
 def to_offsets(frame: DataFrame) -> tuple[bytes, list[int], bytes]:
     """The same buffers of a frame, in order."""
-    rows = to_host(frame)
-    parts = [(x or "").encode() for x in rows]
-    offsets = [0]
-    for p in parts:
-        offsets.append(offsets[-1] + len(p))
-    bits = bytearray((len(rows) + 7) // 8)
-    for i, x in enumerate(rows):
-        bits[i >> 3] |= (x is not None) << (i & 7)
-    return b"".join(parts), offsets, bytes(bits)
+    a = frame.orderBy("pos").select("s").toArrow().column(0).combine_chunks()
+    size = pc.fill_null(pc.binary_length(a), 0)
+    bits = np.packbits(np.asarray(a.is_valid()), bitorder="little").tobytes()
+    return b"".join(pc.fill_null(a, "").cast(pa.binary()).to_pylist()), [0, *np.cumsum(np.asarray(size)).tolist()], bits

@@ -33,7 +33,7 @@ def test_query(spark, name):
 
 
 def test_findall_long_keeps_all_matches(spark):
-    got = catalog.QUERIES["q_findall_long"](spark, SF).groupBy("doc_id").count().toPandas().set_index("doc_id")["count"]
+    got = catalog.QUERIES["q_findall"](spark, SF).groupBy("doc_id").count().toPandas().set_index("doc_id")["count"]
     texts = spark.read.parquet(f"{SF}/documents.parquet").toPandas().set_index("doc_id").text
     want = texts.str.count("th[a-z]")
     assert got.max() > 2 and got.to_dict() == want[want > 0].to_dict()
@@ -44,5 +44,5 @@ def test_predicates_read_whole_texts(spark, tmp_path, name):
     yes = {"isalnum": "a1", "isalpha": "ab", "isspace": " \t    "}.get(name, "12")
     rows = [(1, yes), (2, yes * 40_000), (3, yes * 40_000 + "!"), (4, None)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r.v0 for r in catalog.QUERIES[f"q_{name}_whole"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.v0 for r in catalog.QUERIES[f"q_{name}"](spark, str(tmp_path)).collect()}
     assert got == {1: True, 2: True, 3: False, 4: None}

@@ -31,6 +31,12 @@ def test_positions(spark):
     assert columns.to_host(P.scatter(f, spark.createDataFrame([(1, None), (0, "z")], "index long, s string"))) == ["z", None, "a", "ccc", ""]
     assert columns.to_host(P.from_strings(f, f)) == ["b", None, "a", "ccc", ""] * 2
     assert columns.to_host(P.slice_rows(f, -3, None, 2)) == ["a", ""]
+    assert columns.to_host(P.slice_rows(f, None, None, -2)) == ["", "a", "b"]
+    assert columns.to_host(P.slice_rows(f, 3, 0, -1)) == ["ccc", "a", None] and columns.to_host(P.slice_rows(f, 0, 3, -1)) == []
+    assert columns.to_host(P.from_strings(f, f.limit(0), f, f)) == ["b", None, "a", "ccc", ""] * 3
+    assert (P.bytes_total(f).first().n, P.memory(f).first().n) == (5, 8 * 5 + 3 * 16 + 8)
+    assert [r.pos for r in P.nulls(f, True).orderBy("pos").collect()] == [1, 4] and P.null_bitmask(f).first().mask == 0b11101
+    assert columns.to_host(P.unique_tokens(columns.to_frame(spark, ["b a", None, "c a", ""]))) == ["a", "b", "c"]
     assert P.join(f, "-").first().s == "b-a-ccc-"
     assert columns.to_host(P.ngrams(columns.to_frame(spark, ["this", "is", None, "my", "book"]))) == ["this_is", "is_my", "my_book"]
     assert columns.to_host(P.ngrams(columns.to_frame(spark, ["a", "b"]), 3)) == ["a_b"]

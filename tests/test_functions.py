@@ -1,5 +1,7 @@
 """Golden values of the string, conversion and text functions."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,7 +39,16 @@ CASES = [
     (S.rpartition, ["a b c", "ab"], [["a b", " ", "c"], ["", "", "ab"]]),
     (lambda s: S.zfill(s, 6), ["-12", "7", "+1.5", "1234567"], ["-00012", "000007", "+001.5", "1234567"]),
     (lambda s: S.wrap(s, 10), ["quick brown fox jumped over lazy brown dog", None, ""], ["quick\nbrown fox\njumped\nover lazy\nbrown dog", None, ""]),
+    (lambda s: S.wrap(s, 4), ["  ab cd", "  longword x", "a  ", "   ", "a     b", "ab cde f\tgh\n", "é漢字é é"], ["  ab\ncd", " \nlongword\nx", "a  ", "   ", "a    \nb", "ab\ncde\nf gh ", "é漢字é\né"]),
     (lambda s: S.replace_multi(s, ["e", "o"], ["E", "e"]), ["hello"], ["hElle"]),
+    (lambda s: S.replace_multi(s, ["ab", "a", "-", "]"], ["1", "22", "", "x"]), ["aab-^]b\na", None], ["221^xb\n22", None]),
+    (S.isdigit, ["⁴", "①", "12", "½", "x1", "", None], [True, True, True, False, False, False, None]),
+    (S.isnumeric, ["一", "½", "Ⅷ", "12", "a", ""], [True, True, True, True, False, False]),
+    (S.isdecimal, ["١٢", "⁴", "12"], [True, False, True]),
+    (S.isalnum, ["a一½⁴", "a b", "_"], [True, False, False]),
+    (C.stol, ["12345678901234567890123", "-12345678901234567890123", "9223372036854775808", "18446744073709551616", "-", "+7"], [4807115922877859019, -4807115922877859019, -9223372036854775808, 0, 0, 7]),
+    (C.stoi, ["12345678901234567890123", "4294967297"], [12345678901234567890123 % 2**32 - (2**32 if 12345678901234567890123 % 2**32 >= 2**31 else 0), 1]),
+    (lambda s: C.timestamp2int(s, "%d %b %Y", "D"), ["03 Jan 1970", "01 dec 1970", "01 ??? 1970"], [2, 334, 0]),
     (lambda s: S.extract(s, r"Flight:([A-Z]+)(\d+)")[1], ["ALA Flight:HU7934", "", None], ["7934", None, None]),
     (lambda s: S.replace_with_backrefs(s, r"([a-z])-([a-z])", r"\2-\1\7"), ["a-b"], ["b-a"]),
     (lambda s: S.count(s, "a"), ["aaa", "", None], [3, 0, 0]),
@@ -67,6 +78,31 @@ def test_nulls(spark, f):
     assert run(spark, [None, None], f) == [None, None]
 
 
+def test_long_texts(spark):
+    """Work in proportion to the text: a megabyte in seconds."""
+    text = "some words of a long text " * 40_000
+    df = spark.createDataFrame([(text,)], "s string").repartition(1)
+    began = time.time()
+    r = df.select(C.hash32(F.col("s")).alias("h"), S.wrap(F.col("s"), 60).alias("w"), S.title(F.col("s")).alias("t"), S.replace_multi(F.col("s"), ["of", "long"], ["x", "y"]).alias("r")).first()
+    assert time.time() - began < 30
+    assert max(map(len, r.w.split("\n"))) <= 60 and r.w.replace("\n", " ") == text and r.t == text.title() and r.r == text.replace("of", "x").replace("long", "y")
+
+
+@pytest.mark.parametrize("v", [1e9, 1.5, 123456.7891234, 9.99999999999, 0.000123456789012, 0.5, 99999.99999999, 1e15, 1.25e-7, 12345678.9, 1e9 + 1])
+def test_dtos_digits(spark, v):
+    got = run(spark, [v, -v], C.dtos, "double")
+    assert got[1] == "-" + got[0] and ("e" in got[0]) == (v > 1e9 or v < 1e-4)
+    assert abs(float(got[0]) - v) <= max(1e-9 * v, 1e-9) and len(got[0].split("e")[0].replace(".", "").lstrip("0")) <= 11
+
+
+def test_time_names(spark):
+    assert run(spark, [1553085296], lambda v: C.int2timestamp(v, "%A %a %d %B %b %p %I %w %Z %%"), "long") == ["Wednesday Wed 20 March Mar PM 12 3 UTC %"]
+    assert run(spark, [2019], lambda v: C.int2timestamp(v, units="Y"), "long") == ["2019-01-01T00:00:00Z"]
+    assert run(spark, [-1, 590], lambda v: C.int2timestamp(v, "%Y-%m", "M"), "long") == ["1969-12", "2019-03"]
+    with pytest.raises(ValueError, match="specifier"):
+        C.int2timestamp(F.lit(1), "%Q")
+
+
 def test_regex():
     assert regex.to_java(r"a$\Z") == r"(?mdU)a$\z"
     assert regex.to_java(r"[^x]\D") == r"(?mdU)[^\nx][^\d\n]"
