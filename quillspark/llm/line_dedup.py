@@ -256,3 +256,20 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = _with_text(own, _dedup(own, "text", "doc_id", PERCENT), "text")
     emptied = (F.col("n_removed_lines") > 0) & ~F.col("t").rlike(r"[^\x20\x09-\x0D]")
     return own.back(out.filter(~F.coalesce(emptied, F.lit(False))))
+
+
+#: The same prefix filter as SQL, with exact counts of words.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+u AS (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM d),
+x AS (SELECT doc_id, i, l[i] AS line, list_sort(list_distinct(regexp_extract_all(translate(l[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'))) AS k FROM u),
+y AS (SELECT doc_id, i, k, row_number() OVER (ORDER BY doc_id, i) AS r FROM x WHERE len(k) > 0),
+s AS (SELECT k, min(r) AS r, len(k) AS n FROM y GROUP BY k),
+w AS (SELECT r, n, unnest(k) AS w FROM s),
+c AS (SELECT w, count(*) AS c FROM w GROUP BY w),
+p AS (SELECT r, n, w FROM w JOIN c USING (w) QUALIFY row_number() OVER (PARTITION BY r ORDER BY c, w) <= n - (90 * n + 99) // 100 + 1),
+q AS (SELECT DISTINCT a.r AS a, b.r AS b FROM p a JOIN p b ON a.w = b.w AND a.r < b.r AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)),
+m AS (SELECT b AS r, min(a) AS m FROM q JOIN s e ON a = e.r JOIN s f ON b = f.r WHERE 190 * len(list_intersect(e.k, f.k)) >= 90 * (e.n + f.n) GROUP BY b),
+g AS (SELECT doc_id, i FROM y JOIN s ON y.k = s.k LEFT JOIN m ON m.r = s.r WHERE y.r > coalesce(m.m, s.r))
+SELECT x.doc_id, CASE WHEN any_value(t) = '' THEN 0 ELSE count(*) END::BIGINT AS n_lines, count(g.i)::BIGINT AS n_removed, sha256(coalesce(string_agg(line, chr(10) ORDER BY x.i) FILTER (g.i IS NULL), '')) AS kept_sha256
+FROM x JOIN d ON d.doc_id = x.doc_id LEFT JOIN g ON g.doc_id = x.doc_id AND g.i = x.i GROUP BY x.doc_id"""

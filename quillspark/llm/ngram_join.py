@@ -251,3 +251,14 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     first = at.agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")).select("first.key")
     one = keyed.filter(worded).join(first, "key").dropDuplicates(["key"])  # rows with one hash are the same in all columns
     return own.back(one.select(*own.kept).unionByName(own.df.filter(~worded).select(*own.kept)))
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x, y, c = a.n AND c = b.n AS same FROM p JOIN n a ON x = a.doc_id JOIN n b ON y = b.doc_id WHERE 100 * c >= 70 * (a.n + b.n - c)),
+r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, (SELECT count(*) FROM l WHERE x = doc_id)::BIGINT AS n_similar, (SELECT min(y) FROM r WHERE x = doc_id) AS component_id,
+  least(doc_id, (SELECT min(y) FROM l WHERE x = doc_id AND same)) AS class_id FROM documents LEFT JOIN n USING (doc_id)"""

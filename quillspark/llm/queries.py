@@ -21,6 +21,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secrets": secrets.op10_secrets,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_join": ngram_join.ORACLE,
     "op5_quality_rules": quality_rules.ORACLE,
+    "op8_line_dedup": line_dedup.ORACLE,
+    "op9_suffix_dedup": suffix_dedup.ORACLE,
     "op6_mixing": mixing.ORACLE,
 }

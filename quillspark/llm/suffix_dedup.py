@@ -316,3 +316,17 @@ def remove(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: li
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated strings of 200 bytes among all documents."""
     return remove(load(spark, sf_dir, "documents"), keep=["doc_id"]).drop("kept")
+
+
+#: All windows of 200 bytes, by their MD5.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+g AS (SELECT doc_id, n, o, h[2 * o + 1:2 * o + 4398] AS g FROM (SELECT doc_id, n, h, unnest(range(0, n - 199, 2000)) AS o FROM d)),
+w AS (SELECT doc_id, o + j AS i, md5(g[2 * j + 1:2 * j + 400]) AS k FROM (SELECT doc_id, o, g, unnest(range(0, least(2000, n - 199 - o))) AS j FROM g)),
+c AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
+r AS (SELECT doc_id, i FROM w SEMI JOIN c USING (k)),
+b AS (SELECT doc_id, unnest(range(0, n)) AS p, unnest(regexp_extract_all(h, '..')) AS x FROM d),
+z AS (SELECT b.doc_id, p, x, coalesce(max(r.i) OVER (PARTITION BY b.doc_id ORDER BY p) >= p - 199, false) AS gone FROM b LEFT JOIN r ON r.doc_id = b.doc_id AND r.i = p),
+e AS (SELECT *, gone AND NOT lag(gone, 1, false) OVER (PARTITION BY doc_id ORDER BY p) AS opens FROM z),
+a AS (SELECT doc_id, count_if(gone) AS n_removed, count_if(opens) AS n_spans, string_agg(x, '' ORDER BY p) FILTER (NOT gone) AS kept FROM e GROUP BY doc_id)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN a USING (doc_id)"""
