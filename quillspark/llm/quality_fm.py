@@ -29,7 +29,7 @@ from quillspark.llm import _text as tx
 from quillspark.llm import quality_rules
 from quillspark.llm._spark import Hidden, load, text_of
 
-BITS, RANK, ROWS, EPOCHS = 13, 4, 3000, 120
+BITS, RANK, ROWS, EPOCHS, STEPS, BATCH, RATE = 13, 4, 3000, 12, 400, 128, 0.02
 _DIGIT, _PUNCT = np.zeros(256, bool), np.zeros(256, bool)
 _DIGIT[48:58] = True
 _PUNCT[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
@@ -79,49 +79,54 @@ class Machine:
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS, seed: int = 7) -> Machine:
-    """Fits by Adam on all rows at once. rows: buckets of the words, statistics, label."""
+    """Fits by Adam on batches of BATCH rows, in STEPS steps at least. rows: buckets of the words, statistics, label."""
     size, rng = 1 << BITS, np.random.default_rng(seed)
-    y = np.array([r[2] for r in rows], float)
+    y = np.array([r[2] for r in rows], np.float32)
     if not len(y) or y.min() == y.max():
         p = float(np.clip(y.mean(), 1e-3, 1 - 1e-3)) if len(y) else 0.5
         return Machine(float(np.log(p / (1 - p))), np.zeros(size + STATS), np.zeros((size + STATS, RANK)), np.zeros(STATS), np.ones(STATS))
     stats = np.stack([r[1] for r in rows])
     mean, scale = stats.mean(0), stats.std(0) + 1e-6
-    x = np.clip((stats - mean) / scale, -4, 4)
+    x = np.clip((stats - mean) / scale, -4, 4).astype(np.float32)
     owner = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
     key, times = np.unique(owner * size + np.concatenate([r[0] for r in rows]).astype(np.int64), return_counts=True)
-    row, col = key // size, key % size
-    n = np.maximum(np.array([len(r[0]) for r in rows], float), 1)
-    v1, v2 = times / n[row], times / n[row] ** 2
-    by_col = np.argsort(col, kind="stable")
-    cols, first = np.unique(col[by_col], return_index=True)
-
-    def to_rows(values: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(rows), values.shape[1]))
-        at, where = np.unique(row, return_index=True)
-        out[at] = np.add.reduceat(values, where, axis=0)
-        return out
-
-    theta = np.concatenate([np.zeros((size + STATS, 1)), rng.normal(0, 0.05, (size + STATS, RANK))], axis=1)
+    first = np.searchsorted(key, np.arange(len(rows) + 1) * size)
+    col = (key % size).astype(np.int32)
+    n = np.maximum(np.array([len(r[0]) for r in rows], float), 1)[key // size]
+    v1, v2 = (times / n).astype(np.float32), (times / n**2).astype(np.float32)  # each occurrence is a feature with the value 1 / words
+    theta = np.concatenate([np.zeros((size + STATS, 1)), rng.normal(0, 0.05, (size + STATS, RANK))], axis=1).astype(np.float32)
     bias, m, v, mb, vb = float(np.log(y.mean() / (1 - y.mean()))), np.zeros_like(theta), np.zeros_like(theta), 0.0, 0.0
-    for t in range(1, epochs + 1):
-        lin, vec = theta[:, 0], theta[:, 1:]
-        words = to_rows(np.concatenate([lin[col, None] * v1[:, None], vec[col] * v1[:, None], vec[col] ** 2 * v2[:, None]], axis=1))
-        inner = words[:, 1 : 1 + RANK] + x @ vec[size:]
-        square = words[:, 1 + RANK :] + (x**2) @ (vec[size:] ** 2)
-        z = bias + words[:, 0] + x @ lin[size:] + 0.5 * (inner**2 - square).sum(1)
-        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
-        own = np.concatenate([(g[row] * v1)[:, None], (g[row] * v1)[:, None] * inner[row] - (g[row] * v2)[:, None] * vec[col]], axis=1)[by_col]
-        grad = 1e-5 * theta
-        grad[cols] += np.add.reduceat(own, first, axis=0)
-        grad[size:, 0] += x.T @ g
-        grad[size:, 1:] += x.T @ (g[:, None] * inner) - ((x**2).T @ g)[:, None] * vec[size:]
-        rate = 0.05 * min(1, 2 * (1 - t / (epochs + 1)))
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        mb, vb = 0.9 * mb + 0.1 * g.sum(), 0.999 * vb + 0.001 * g.sum() ** 2
-        theta = theta - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        bias -= rate * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.999**t)) + 1e-8)
-    return Machine(float(bias), theta[:, 0], theta[:, 1:], mean, scale)
+    batches, t = -(-len(y) // BATCH), 0
+    epochs = max(epochs, -(-STEPS // batches))
+    steps = epochs * batches
+    for _ in range(epochs):
+        order = rng.permutation(len(y))
+        for at in range(0, len(y), BATCH):
+            own = order[at : at + BATCH]
+            count = first[own + 1] - first[own]
+            r = np.repeat(np.arange(len(own)), count)
+            k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first[own], count)
+            c, w1, w2, xs = col[k], v1[k], v2[k], x[own]
+            vec, vs = theta[c, 1:], theta[size:, 1:]
+            add = lambda z, r=r, rows_=len(own): np.bincount(r, z, rows_)
+            inner = np.stack([add(vec[:, j] * w1) for j in range(RANK)], axis=1) + xs @ vs
+            square = add((vec**2).sum(1) * w2) + (xs**2) @ (vs**2).sum(1)
+            z = bias + add(theta[c, 0] * w1) + xs @ theta[size:, 0] + 0.5 * ((inner**2).sum(1) - square)
+            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[own]) / len(own)
+            grad = 1e-5 * theta
+            gw = g[r] * w1
+            grad[:size, 0] += np.bincount(c, gw, size)
+            for j in range(RANK):
+                grad[:size, 1 + j] += np.bincount(c, gw * inner[r, j] - g[r] * w2 * vec[:, j], size)
+            grad[size:, 0] += xs.T @ g
+            grad[size:, 1:] += xs.T @ (g[:, None] * inner) - ((xs**2).T @ g)[:, None] * vs
+            t += 1
+            rate = RATE * min(1, 2 * (1 - t / (steps + 1)))
+            m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
+            mb, vb = 0.9 * mb + 0.1 * g.sum(), 0.999 * vb + 0.001 * g.sum() ** 2
+            theta -= (rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
+            bias -= rate * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.999**t)) + 1e-8)
+    return Machine(float(bias), theta[:, 0].astype(float), theta[:, 1:].astype(float), mean, scale)
 
 
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
