@@ -27,7 +27,8 @@ def char_class(test: Callable[[str], bool]) -> str:
 
 
 # A digit has a digit's value (superscripts and circled ones too), a number any value (fractions, Roman and Chinese ones too).
-_ALPHA, _DIGIT, _NUMERIC, _DECIMAL = map(char_class, (str.isalpha, str.isdigit, str.isnumeric, str.isdecimal))
+_ALPHA = r"a-zA-Z[\p{L}&&[^\x{10000}-\x{10ffff}]]"
+_DIGIT, _NUMERIC, _DECIMAL = map(char_class, (str.isdigit, str.isnumeric, str.isdecimal))
 _SPACE = r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 BLANK = r"[\x00-\x20]+"
 

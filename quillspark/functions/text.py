@@ -70,7 +70,6 @@ def edit_distance(s: Column, target: str | Column) -> Column:
 
 def porter_stemmer_measure(s: Column, vowels: str = "aeiou", y: str = "y") -> Column:
     """Changes from a run of vowels to a consonant; y is a consonant at the start and after a vowel."""
-    chars = F.split(F.coalesce(s, F.lit("")), "")
-    vowel = lambda c: F.locate(c, F.lit(vowels)) > 0 if isinstance(c, str) else F.contains(F.lit(vowels), c)
-    kind = F.transform(chars, lambda c, i: F.when(c == "", "").when(vowel(c), "V").when((c != y) | (i == 0) | vowel(F.coalesce(F.get(chars, i - 1), F.lit("-"))), "C").otherwise("V"))
-    return F.regexp_count(F.array_join(kind, ""), F.lit("V+C"))
+    v, w = regex.quote(vowels), regex.quote(y)
+    sure = F.regexp_replace(F.coalesce(s, F.lit("")), rf"(?:(?<=[{v}])|\A)[{w}]", "\x01")  # y as a consonant
+    return F.regexp_count(sure, F.lit(rf"[{v}{w}]++[^{v}{w}]"))
