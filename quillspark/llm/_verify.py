@@ -29,12 +29,12 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     owner, back = owner[some], (np.cumsum(times > 1) - 1)[back[some]]
     order = np.argsort(back, kind="stable")
     owner, back = owner[order], back[order]
-    width, out, step = int(back[-1]) + 1 if len(back) else 0, np.zeros((m, m), np.int64), 4096
+    width, out, step = int(back[-1]) + 1 if len(back) else 0, np.zeros((m, m), np.int32), max(256, (1 << 22) // m)
     for k in range(0, width, step):
         p, q = np.searchsorted(back, [k, k + step])
         table = np.zeros((m, min(step, width - k)), np.float32)
         table[owner[p:q], back[p:q] - k] = 1
-        out += (table @ table.T).astype(np.int64)
+        out += (table @ table.T).astype(np.int32)
     return out
 
 
@@ -112,7 +112,7 @@ def verify(pairs: DataFrame, rows: DataFrame, good: Callable[[np.ndarray, np.nda
         n, both = np.diff(offs), np.zeros(len(p), np.int64)
         # Cells with most of their pairs: all at once as a product. The others' pairs: one by one, by lookup.
         pairs_of, sets_of = np.bincount(in_cell[p], minlength=number[-1] + 1), np.bincount(in_cell, minlength=number[-1] + 1)
-        dense = (pairs_of > 2 * sets_of) & (sets_of <= 1024)
+        dense = (pairs_of > 2 * sets_of) & (sets_of <= 2048)
         first = np.searchsorted(in_cell, np.arange(number[-1] + 2))
         bounds = np.searchsorted(in_cell[p], np.arange(number[-1] + 2))
         for c in np.flatnonzero(dense).tolist():
