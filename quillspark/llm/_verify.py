@@ -4,7 +4,9 @@ A pair goes to the cell named after the smallest group that either of its two
 touches, so the pairs of a cluster meet in one place and a set is sent about once.
 A cell with more than ELEMENTS elements is cut into blocks, of which those meet
 that have a pair across; so no task holds a large cluster, and only candidate pairs
-are compared.
+count, each of them in one place. Inside a cell, tiles of TILE by TILE sets that hold
+many pairs are overlapped as a product, at a hundredth of a lookup's time for a pair;
+a cluster that grows with the corpus has pairs as its square.
 """
 
 from __future__ import annotations
@@ -17,11 +19,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ELEMENTS = 1 << 19
+ELEMENTS, TILE = 1 << 19, 1024
 
 
-def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """The sizes of all pairs' intersections, as a product of 0-1 tables over the elements that two or more hold."""
+def overlaps(sets: list[np.ndarray], left: int) -> np.ndarray:
+    """The sizes of the intersections of the first `left` sets with the others (with themselves, if there are no others), as a product of 0-1 tables over the elements that two or more hold."""
     m = len(sets)
     owner = np.repeat(np.arange(m), [len(x) for x in sets])
     _, back, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -29,12 +31,13 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     owner, back = owner[some], (np.cumsum(times > 1) - 1)[back[some]]
     order = np.argsort(back, kind="stable")
     owner, back = owner[order], back[order]
-    width, out, step = int(back[-1]) + 1 if len(back) else 0, np.zeros((m, m), np.int32), max(256, (1 << 22) // m)
+    right = left if left < m else 0
+    width, out, step = int(back[-1]) + 1 if len(back) else 0, np.zeros((left, m - right), np.int32), max(256, (1 << 22) // m)
     for k in range(0, width, step):
         p, q = np.searchsorted(back, [k, k + step])
         table = np.zeros((m, min(step, width - k)), np.float32)
         table[owner[p:q], back[p:q] - k] = 1
-        out += (table @ table.T).astype(np.int32)
+        out += (table[:left] @ table[right:].T).astype(np.int32)
     return out
 
 
@@ -58,8 +61,25 @@ def shared(flat: np.ndarray, offs: np.ndarray, p: np.ndarray, q: np.ndarray) ->
     return out
 
 
+def counted(flat: np.ndarray, offs: np.ndarray, in_cell: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """How many elements the sets p and q of each pair share, p < q. in_cell: each set's cell, in ascending order; both sets of a pair are of one."""
+    first = np.searchsorted(in_cell, in_cell)  # the first set of each one's cell
+    tiles = -(-max(int((np.arange(len(in_cell)) - first).max(initial=0)) + 1, 1) // TILE)
+    tile = (first[p] * np.int64(tiles) + (p - first[p]) // TILE) * tiles + (q - first[q]) // TILE
+    order = np.argsort(tile, kind="stable")
+    edges = np.flatnonzero(np.concatenate([[True], np.diff(tile[order]) != 0])) if len(p) else order
+    out, thin = np.zeros(len(p), np.int64), np.ones(len(p), bool)
+    for own in np.split(order, edges[1:]) if len(p) else []:
+        (x, px), (y, qy) = (np.unique(k[own], return_inverse=True) for k in (p, q))
+        if len(own) > 2 * (len(x) + len(y)):
+            both = [flat[offs[k] : offs[k + 1]] for k in (*x, *y)]
+            out[own], thin[own] = overlaps(both, len(x))[px, qy], False
+    out[thin] = shared(flat, offs, p[thin], q[thin])
+    return out
+
+
 def cells(pairs: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pairs by cell, members by cell): cell, i, j, a, b and cell, i, j, gid, s0, s1.
+    """(pairs by cell, members by cell): cell, i, j, a, b and cell, i, j, gid, s0, s1, block (i or j).
 
     pairs (a, b): groups that may have similar members; a group with itself for pairs inside it. members (gid, s0, s1, n): the sets of each group.
     """
@@ -74,19 +94,37 @@ def cells(pairs: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
     met = at.join(where.select("cell", F.col("gid").alias("a"), F.col("block").alias("p")), ["cell", "a"]).join(where.select("cell", F.col("gid").alias("b"), F.col("block").alias("q")), ["cell", "b"])
     met = met.select("cell", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "a", "b").distinct()
     need = met.select("cell", "i", "j", F.col("a").alias("gid")).unionByName(met.select("cell", "i", "j", F.col("b").alias("gid"))).distinct()
-    return met, need.join(placed, ["cell", "gid"]).filter("block = i OR block = j").select("cell", "i", "j", "gid", "s0", "s1")
+    return met, need.join(placed, ["cell", "gid"]).filter("block = i OR block = j").select("cell", "i", "j", "gid", "s0", "s1", "block")
+
 
+def roots(m: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The smallest of the places 0 to m - 1 that each is connected with by the pairs."""
+    out = np.arange(m)
+    while True:
+        before = out.copy()
+        np.minimum.at(out, p, out[q])
+        np.minimum.at(out, q, out[p])
+        out = out[out]
+        if (out == before).all():
+            return out
 
-def verify(pairs: DataFrame, rows: DataFrame, good: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """(a0, a1, b0, b1): pairs of different sets, each once, with good(overlap, n, m). pairs: as from cells(); rows: members by cell with `keys`, their whole sets."""
+
+def verify(pairs: DataFrame, rows: DataFrame, good: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], summed: bool = False) -> DataFrame:
+    """(a0, a1, b0, b1): pairs of different sets, each once, with good(overlap, n, m). pairs: as from cells(); rows: members by cell with `keys`, their whole sets.
+
+    summed: instead of pairs, rows (a0, a1, b0, b1, others) for each set and block with such pairs: the sizes of the sets
+    that it pairs with there, summed (rows has `size`), and one set that pairs connect it with there, so that all
+    rows connect the same sets as all pairs. They grow with the sets, not with the pairs.
+    """
     none = F.lit(None)
     long = "long"
-    left = pairs.select("cell", "i", "j", F.lit(1).alias("kind"), F.col("a").alias("gid"), F.col("b").alias("other"), none.cast(long).alias("s0"), none.cast(long).alias("s1"), none.cast("array<long>").alias("keys"))
-    right = rows.select("cell", "i", "j", F.lit(0).alias("kind"), "gid", none.cast(long).alias("other"), "s0", "s1", "keys")
+    weight = F.col("size").cast(long) if summed else F.lit(1).cast(long)
+    left = pairs.select("cell", "i", "j", F.lit(1).alias("kind"), F.col("a").alias("gid"), F.col("b").alias("other"), none.cast(long).alias("s0"), none.cast(long).alias("s1"), none.cast("int").alias("block"), none.cast(long).alias("size"), none.cast("array<long>").alias("keys"))
+    right = rows.select("cell", "i", "j", F.lit(0).alias("kind"), "gid", none.cast(long).alias("other"), "s0", "s1", "block", weight.alias("size"), "keys")
 
     def settle(block: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(block).combine_chunks()
-        cell, i, j, kind, gid, other, s0, s1 = (np.asarray(pc.fill_null(t.column(c), 0)) for c in ("cell", "i", "j", "kind", "gid", "other", "s0", "s1"))
+        cell, i, j, kind, gid, other, s0, s1, part, size = (np.asarray(pc.fill_null(t.column(c), 0)) for c in ("cell", "i", "j", "kind", "gid", "other", "s0", "s1", "block", "size"))
         number = np.cumsum(np.append(False, (cell[1:] != cell[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
         asks = kind == 1
         names = np.unique(np.concatenate([gid, other[asks]]))
@@ -97,7 +135,7 @@ def verify(pairs: DataFrame, rows: DataFrame, good: Callable[[np.ndarray, np.nda
         lists = t.column("keys").combine_chunks().filter(pa.array(~asks)).take(pa.array(order))
         flat, offs = np.asarray(lists.values), np.asarray(lists.offsets).astype(np.int64)
         flat, offs = flat[offs[0] : offs[-1]], offs - offs[0]
-        s0, s1 = s0[~asks][order], s1[~asks][order]
+        s0, s1, part, size, across = (x[~asks][order] for x in (s0, s1, part, size, i != j))
         at = number[asks]
         a, b = name(at, gid[asks]), name(at, other[asks])
         lo, hi = (np.stack([np.searchsorted(own, x, side) for x in (a, b)]) for side in ("left", "right"))
@@ -107,21 +145,18 @@ def verify(pairs: DataFrame, rows: DataFrame, good: Callable[[np.ndarray, np.nda
         wide = np.repeat(np.maximum(nb, 1), times)
         p, q = np.repeat(lo[0], times) + k // wide, np.repeat(lo[1], times) + k % wide
         p, q = np.minimum(p, q), np.maximum(p, q)
-        once = np.unique(p[p < q] * np.int64(max(len(own), 1)) + q[p < q])
+        some = (p < q) & ((part[p] != part[q]) | ~across[p])  # two blocks meet for the pairs across
+        once = np.unique(p[some] * np.int64(max(len(own), 1)) + q[some])
         p, q = once // max(len(own), 1), once % max(len(own), 1)
-        n, both = np.diff(offs), np.zeros(len(p), np.int64)
-        # Cells with most of their pairs: all at once as a product. The others' pairs: one by one, by lookup.
-        pairs_of, sets_of = np.bincount(in_cell[p], minlength=number[-1] + 1), np.bincount(in_cell, minlength=number[-1] + 1)
-        dense = (pairs_of > 2 * sets_of) & (sets_of <= 2048)
-        first = np.searchsorted(in_cell, np.arange(number[-1] + 2))
-        bounds = np.searchsorted(in_cell[p], np.arange(number[-1] + 2))
-        for c in np.flatnonzero(dense).tolist():
-            x, y, f = bounds[c], bounds[c + 1], first[c]
-            both[x:y] = overlaps([flat[offs[m] : offs[m + 1]] for m in range(f, first[c + 1])])[p[x:y] - f, q[x:y] - f]
-        thin = np.flatnonzero(~dense[in_cell[p]])
-        both[thin] = shared(flat, offs, p[thin], q[thin])
+        n, both = np.diff(offs), counted(flat, offs, in_cell, p, q)
         ok = good(both, n[p], n[q])
         p, q = p[ok], q[ok]
+        if summed:
+            others = np.zeros(len(own), np.int64)
+            np.add.at(others, p, size[q])
+            np.add.at(others, q, size[p])
+            a, b = np.flatnonzero(others), roots(len(own), p, q)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (s0[a], s1[a], s0[b[a]], s1[b[a]], others[a])], names=["a0", "a1", "b0", "b1", "others"])
         swap = (s0[p] > s0[q]) | ((s0[p] == s0[q]) & (s1[p] > s1[q]))
         p, q = np.where(swap, q, p), np.where(swap, p, q)
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (s0[p], s1[p], s0[q], s1[q])], names=["a0", "a1", "b0", "b1"])
@@ -146,4 +181,6 @@ def verify(pairs: DataFrame, rows: DataFrame, good: Callable[[np.ndarray, np.nda
             yield settle(held)
 
     spread = left.unionByName(right).repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "kind")
+    if summed:
+        return spread.mapInArrow(run, "a0 long, a1 long, b0 long, b1 long, others long")
     return spread.mapInArrow(run, "a0 long, a1 long, b0 long, b1 long").distinct()

@@ -11,7 +11,8 @@ still share, in their prefixes from that element on and behind the prefix that e
 first, suffice. Candidate groups are expanded: the whole sets of their members, read
 from the texts again, decide.
 
-Only candidate pairs are compared, in cells of bounded size (see `_verify`). A very
+Only candidate pairs are compared, in cells of bounded size (see `_verify`), which send on
+each class's sum of links and a star of each connected part, no list of links. A very
 common element stands behind the prefixes by its order; where a corpus makes one hot
 nevertheless, the join on elements is a plain sort-merge join, which spills and which
 adaptive execution splits.
@@ -128,7 +129,7 @@ def shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def join(texts: DataFrame, percent: int = 70) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """For texts (doc_id, t): documents (doc_id, n_shingles, s0, s1), classes (s0, s1, n, rep, size), links (a0, a1, b0, b1) between classes. Documents without words have null hashes."""
+    """For texts (doc_id, t): documents (doc_id, n_shingles, s0, s1), classes (s0, s1, n, rep, size), links (a0, a1, b0, b1, others) between classes: they connect those that are similar, and a class has as many similar documents of other classes as its `others` sum up to. Documents without words have null hashes."""
     rare = rarity(texts.select("t"))
 
     def each_doc(b: pa.RecordBatch, own: np.ndarray, first: np.ndarray, key: np.ndarray, hashes: tuple) -> list[pa.Array]:
@@ -176,13 +177,13 @@ def join(texts: DataFrame, percent: int = 70) -> tuple[DataFrame, DataFrame, Dat
     candidates = cut(pairs.distinct().unionByName(inside))
     met, placed = cells(candidates, cut(members))
     met, placed = cut(met), cut(placed)
-    full = _wanted_sets(texts, rare, placed.select("s0", "s1").distinct().join(classes.select("s0", "s1", "rep"), ["s0", "s1"]))
-    links = cut(verify(met, placed.join(full, ["s0", "s1"]), similar_enough(percent)))
+    full = _wanted_sets(texts, rare, placed.select("s0", "s1").distinct().join(classes.select("s0", "s1", "rep", "size"), ["s0", "s1"]))
+    links = cut(verify(met, placed.join(full, ["s0", "s1"]), similar_enough(percent), summed=True))
     return known.select("doc_id", "n_shingles", *(F.when(F.col("n_shingles") > 0, F.col(c)).alias(c) for c in ("s0", "s1"))), classes.drop("last"), links
 
 
 def _wanted_sets(texts: DataFrame, rare: Rarity, wanted: DataFrame) -> DataFrame:
-    """(s0, s1, keys) of the classes of wanted (s0, s1, rep). A Bloom filter over their documents keeps most others from being sent."""
+    """(s0, s1, keys, size) of the classes of wanted (s0, s1, rep, size). A Bloom filter over their documents keeps most others from being sent."""
     wanted = cut(wanted)
     state = texts.sparkSession.sparkContext.broadcast((bloom_of(wanted, F.xxhash64("rep")), rare))  # at most 32 and 4 MB
     source = texts.select(F.xxhash64("doc_id").alias("h"), "t")
@@ -200,7 +201,7 @@ def _wanted_sets(texts: DataFrame, rare: Rarity, wanted: DataFrame) -> DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array(tx.as_long(s0)).take(some), pa.array(tx.as_long(s1)).take(some), lists.take(some)], names=["s0", "s1", "keys"])
 
     sent = source.mapInArrow(run, "s0 long, s1 long, keys array<long>")
-    return sent.join(wanted.select("s0", "s1"), ["s0", "s1"]).groupBy("s0", "s1").agg(F.first("keys").alias("keys"))
+    return sent.join(wanted.select("s0", "s1", "size"), ["s0", "s1"]).groupBy("s0", "s1").agg(F.first("keys").alias("keys"), F.first("size").alias("size"))
 
 
 def _name(s0: str, s1: str):  # noqa: ANN202
@@ -219,8 +220,7 @@ def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent
     texts = own.df.select(F.col(own.of(doc_id)).cast("long").alias("doc_id"), text_of(own.of(text)).alias("t"))
     known, classes, links = join(texts, percent)
     by = classes.select("s0", "s1", "rep", "size")
-    both = links.unionByName(links.select(F.col("b0").alias("a0"), F.col("b1").alias("a1"), F.col("a0").alias("b0"), F.col("a1").alias("b1")))
-    near = both.join(by.select(F.col("s0").alias("b0"), F.col("s1").alias("b1"), "size"), ["b0", "b1"]).groupBy(F.col("a0").alias("s0"), F.col("a1").alias("s1")).agg(F.sum("size").alias("others"))
+    near = links.groupBy(F.col("a0").alias("s0"), F.col("a1").alias("s1")).agg(F.sum("others").alias("others"))
     linked = by.select("s0", "s1", "rep", _name("s0", "s1").alias("node")).join(class_components(links), "node")
     least = linked.join(linked.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("s0", "s1", "component_id")
     info = by.join(near, ["s0", "s1"], "left").join(least, ["s0", "s1"], "left")

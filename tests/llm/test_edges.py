@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.llm import _text as tx
-from quillspark.llm import bpe, line_dedup, mixing, ngram_join, quality_fm, quality_rules, rabitq, secrets, suffix_dedup, toxicity
+from quillspark.llm import _verify, bpe, line_dedup, mixing, ngram_join, quality_fm, quality_rules, rabitq, secrets, suffix_dedup, toxicity
 from quillspark.llm._rarity import rarity
 from quillspark.llm._verify import shared
 
@@ -125,6 +125,30 @@ def test_shared_and_rarity(spark):
     assert rare(tx.span_hash(d, np.arange(3), np.arange(3) + 1)).tolist() == [int(4 * math.log2(9)), 0, 0]
 
 
+def test_large_cells_as_products(monkeypatch):
+    """A cluster of more than 2,048 sets with all its pairs goes without a lookup for each pair; block by block, each set's links and the connections are those of all pairs."""
+    r = np.random.default_rng(3)
+    sets = [np.unique(np.where(r.random(40) < 0.03, r.integers(100, 10**6, 40), np.arange(40))) for _ in range(2600)] + [np.array([1, 2, 3]), np.array([2, 9])]
+    offs = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    p, q = (np.append(x, y) for x, y in zip(np.triu_indices(2600, 1), (2600, 2601), strict=True))
+    looked, plain = [], _verify.shared
+    monkeypatch.setattr(_verify, "shared", lambda f, o, a, b: (looked.append(len(a)), plain(f, o, a, b))[1])
+    got = _verify.counted(np.concatenate(sets), offs, np.array([0] * 2600 + [1] * 2), p, q)
+    some = np.append(r.integers(0, len(p), 500), len(p) - 1)
+    assert looked == [1] and got[some].tolist() == [len(np.intersect1d(sets[i], sets[j])) for i, j in zip(p[some], q[some], strict=True)]
+    assert _verify.roots(7, np.array([3, 1, 5]), np.array([4, 3, 6])).tolist() == [0, 1, 2, 1, 1, 5, 5]
+
+
+def test_ngram_join_blocks(spark, monkeypatch):
+    monkeypatch.setattr(_verify, "ELEMENTS", 500)
+    r = random.Random(9)
+    texts = [" ".join(w if r.random() > 0.02 else f"e{r.random()}" for w in WORDS.split()) for _ in range(80)] * 2
+    sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in map(str.split, texts)]
+    want = {i: sum(170 * len(s & t) >= 70 * (len(s) + len(t)) for j, t in enumerate(sets) if j != i) for i, s in enumerate(sets)}
+    got = ngram_join.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {x.doc_id: x.n_similar for x in got} == want and len({x.component_id for x in got if x.n_similar > 40}) == 1
+
+
 def test_rabitq_repeats_and_wild_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [9.0, 0.0]), (1, [9.0, 0.0]), (2, [1e308, 1e308]), (3, [1.0]), (20, [2.0]), (4, [-1.0, 0.0]), (5, []), (6, None)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
