@@ -157,6 +157,26 @@ def test_rabitq_repeats_and_wild_vectors(spark):
     assert rabitq.nearest(rabitq.index(df.limit(0)), F.lit(True)).count() == 0
 
 
+def test_rabitq_sends_no_vectors(spark):
+    """Vectors aren't repeated for blocks of queries; several passes of queries and small blocks find what one finds, in double precision."""
+    r = np.random.default_rng(8)
+    v = np.concatenate([r.normal(size=(600, 24)), r.normal(size=(40, 24)) * 1e-35, r.normal(size=(9, 24)) * 1e33])
+    df = rabitq.index(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")).cache()
+    out = rabitq.nearest(df, F.col("vec_id") % 20 == 0, block=50, ask=2000)
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+    got = out.toPandas()
+    assert len(got) == 20 * 33 and (got.groupby("query_id").size() == 20).all()
+    hit = 0
+    for q, g in got.groupby("query_id"):
+        s = v @ v[q]
+        s[q] = -np.inf
+        hit += len(set(np.argsort(-s)[:20]) & set(g.vec_id))
+        assert np.allclose(g.score, s[g.vec_id], rtol=1e-12, atol=0)
+    assert hit >= 0.95 * len(got)
+    one = rabitq.nearest(df, F.col("vec_id") % 20 == 0).toPandas()
+    assert np.mean([a == b for a, b in zip(got.sort_values(["query_id", "rank"]).vec_id, one.sort_values(["query_id", "rank"]).vec_id, strict=True)]) > 0.95
+
+
 def test_rabitq_recall(spark):
     got = rabitq.op2_rabitq(spark, SF_LARGE).toPandas()
     e = spark.read.parquet(f"{SF_LARGE}/embeddings.parquet").toPandas()
