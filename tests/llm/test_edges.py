@@ -269,6 +269,25 @@ def test_secrets_base_spans(spark):
         assert got[r.doc_id] == hashlib.sha256(",".join(f"{('assign', 'access', 'hex')[k]}:{s}:{e}" for s, k, e in sorted(spans)).encode()).hexdigest()
 
 
+def test_toxicity_learns_from_all_labels(spark):
+    """A term of four of 40,000 labelled documents is a term of the lexicon; the logistic function is that of all rows."""
+    bad = "vile filth rotten scum".split()
+    rows = [(i, f"{bad[i % 4]} {bad[i // 4 % 4]} here now", 1) if i % 10 == 0 else (i, "a calm day here now", 0) for i in range(40_000)]
+    rows = [(i, f"scarce {t}" if i in (10, 4_000, 8_000, 12_000) else t, y) for i, t, y in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    lexicon = toxicity.learn(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert {"scarce", *bad, "calm"} <= set(lexicon.names)
+    r = np.random.default_rng(4)
+    x = r.normal(size=(500, toxicity.FEATURES)) * 3 + 1
+    y = (r.random(500) < 1 / (1 + np.exp(-x[:, 0] + x[:, 1]))).astype(int)
+    table = spark.createDataFrame([(int(k), *map(float, v)) for k, v in zip(y, x, strict=True)], "y int, " + ", ".join(f"f{i} double" for i in range(toxicity.FEATURES))).repartition(3)
+    mean, scale, w, b = toxicity.logistic(table)
+    z = (x - mean) / scale
+    p = 1 / (1 + np.exp(-(z @ w + b)))
+    assert np.allclose(mean, x.mean(0)) and np.allclose(scale, x.std(0) + 1e-6)
+    assert np.abs(z.T @ (y - p) - 0.1 * w).max() < 1e-3 and abs((y - p).sum() - 0.1 * b) < 1e-3
+
+
 def test_factorisation_machine_identity():
     """The linear-time score is the sum over all pairs of features."""
     rng = np.random.default_rng(2)
