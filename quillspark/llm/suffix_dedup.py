@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from quillspark.llm import _text as tx
 from quillspark.llm._spark import Hidden, cut, load, text_of
 
-LENGTH, K, HOT, SLICE, BATCH = 200, 32, 20_000, 1 << 21, 4_000_000
+LENGTH, K, HOT, SLICE, BATCH = 200, 32, 20_000, 1 << 19, 1 << 20
 _PLACE = tx.U((1 << 30) - 1)
 
 

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import tracemalloc
 
 import corpus_pipeline
 import numpy as np
@@ -216,6 +217,24 @@ def test_suffix_dedup_real_texts(spark):
         assert (got[k].n_bytes, got[k].n_removed, got[k].n_spans, got[k].kept_sha256) == (len(x), int(gone.sum()), spans, hashlib.sha256(left).hexdigest())
 
 
+def test_suffix_dedup_memory_of_a_worker():
+    """What a worker holds for a slice of texts and for a batch of pieces."""
+    data = np.random.default_rng(1).integers(97, 123, 6 << 20).astype(np.uint8)
+    tx.powers(len(data))
+    offs = np.arange(0, len(data) + 1, 4096)
+    tracemalloc.start()
+    for _, _, x, y in suffix_dedup.sliced(data, offs, 200):
+        suffix_dedup.pieces(x, y)
+    slices = tracemalloc.get_traced_memory()[1]
+    n = suffix_dedup.BATCH // 1024
+    tracemalloc.reset_peak()
+    size = np.full(n, 1024)
+    suffix_dedup.repeated(data[: n * 1024], np.arange(n) * 1024, size, size, size - 199, 200)
+    batch = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert slices < 150 << 20 and batch < 300 << 20, (slices >> 20, batch >> 20)
+
+
 def test_bpe_all_code_points():
     from tokenizers import Tokenizer
 
