@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quillspark.llm import _text as tx
+from quillspark.llm._spark import trimmed
 
 BITS, SLICES = 22, 64
 
@@ -63,10 +64,10 @@ def rarity(texts: DataFrame) -> Rarity:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([Rarity(x).classes.tobytes() for x in held.values()], pa.binary())], names=["slice", "classes"])
 
-    sent = texts.mapInArrow(count, "slice int, counts binary").repartition("slice")
+    sent = texts.mapInArrow(trimmed(count), "slice int, counts binary").repartition("slice")
     out = Rarity(np.zeros(0))
     out.classes = np.zeros(1 << BITS, np.uint8)
-    for r in sent.mapInArrow(add, "slice int, classes binary").collect():
+    for r in sent.mapInArrow(trimmed(add), "slice int, classes binary").collect():
         out.classes[r.slice * per : (r.slice + 1) * per] = np.frombuffer(r.classes, np.uint8)
     return out
 

@@ -19,6 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm._spark import trimmed
+
 ELEMENTS, TILE = 1 << 19, 1024
 
 
@@ -182,5 +184,5 @@ def verify(pairs: DataFrame, rows: DataFrame, good: Callable[[np.ndarray, np.nda
 
     spread = left.unionByName(right).repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "kind")
     if summed:
-        return spread.mapInArrow(run, "a0 long, a1 long, b0 long, b1 long, others long")
-    return spread.mapInArrow(run, "a0 long, a1 long, b0 long, b1 long").distinct()
+        return spread.mapInArrow(trimmed(run), "a0 long, a1 long, b0 long, b1 long, others long")
+    return spread.mapInArrow(trimmed(run), "a0 long, a1 long, b0 long, b1 long").distinct()

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm._spark import Hidden, load, text_of
+from quillspark.llm._spark import Hidden, load, text_of, trimmed
 from quillspark.llm._unicode import LOWER, Classes
 
 CACHE, LONG = 150_000, 64
@@ -164,7 +164,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", out: st
             ids = [c.encode(x.as_py() or "") for x in b.column("t")]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in kept), pa.array(ids, pa.list_(pa.int32()))], names=[*kept, out])
 
-    return own.back(full.mapInArrow(run, schema))
+    return own.back(full.mapInArrow(trimmed(run), schema))
 
 
 def decode(tokens: DataFrame, path: str | None = None, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -179,7 +179,7 @@ def decode(tokens: DataFrame, path: str | None = None, ids: str = "ids", out: st
             texts = [None if x is None else c.decode(x) for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in kept), pa.array(texts, pa.string())], names=[*kept, out])
 
-    return own.back(full.mapInArrow(run, schema))
+    return own.back(full.mapInArrow(trimmed(run), schema))
 
 
 def digests(docs: DataFrame, path: str | None = None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -196,7 +196,7 @@ def digests(docs: DataFrame, path: str | None = None, text: str = "text", keep:
             cols = [pa.array([g[i] for g in got], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in kept), *cols], names=[*kept, *names])
 
-    return own.back(source.mapInArrow(run, schema))
+    return own.back(source.mapInArrow(trimmed(run), schema))
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import _text as tx
 from quillspark.llm._rarity import Rarity, class_of, rarity
-from quillspark.llm._spark import Hidden, bloom_of, cut, in_bloom, load, text_of
+from quillspark.llm._spark import Hidden, bloom_of, cut, in_bloom, load, text_of, trimmed
 from quillspark.llm._verify import cells, verify
 from quillspark.llm.ngram_join import prefix, similar_enough
 
@@ -141,7 +141,7 @@ def _each(source: DataFrame, rare: Rarity, schema: str, emit, extra=None) -> Dat
             for i, j, x, y in tx.chunks(d, o):
                 yield pa.RecordBatch.from_arrays(emit(b.slice(i, j - i), *line_sets(x, y, rare_), extra_), names=names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(trimmed(run), schema)
 
 
 def _lists(first: np.ndarray, values: pa.Array) -> pa.Array:
@@ -170,7 +170,7 @@ def matches(source: DataFrame, percent: int = PERCENT) -> DataFrame:
     lines = cut(_each(source, rare, "doc_id long, key long, line long, s0 long, s1 long, n long, bits long, words array<long>, pos array<int>", each_line))
     # One exchange brings the sets of a key together.
     entries = lines.filter(F.size("words") > 0).select("s0", "n", "bits", F.inline(F.arrays_zip("words", "pos"))).repartition("words").sortWithinPartitions("words")
-    found = entries.select("words", "s0", "n", "bits", "pos").mapInArrow(lambda x: candidates(x, percent), "a long, b long, n long, m long")
+    found = entries.select("words", "s0", "n", "bits", "pos").mapInArrow(trimmed(lambda x: candidates(x, percent)), "a long, b long, n long, m long")
     pairs = cut(found.distinct())
     # Their sets come from the texts again, with the first occurrence of each.
     ends = cut(pairs.select(F.col("a").alias("s0"), "n").unionByName(pairs.select(F.col("b").alias("s0"), F.col("m").alias("n"))).distinct())
@@ -226,7 +226,7 @@ def _dedup(own: Hidden, text: str, doc_id: str, percent: int) -> DataFrame:
     number = F.row_number().over(W.partitionBy("key", "id").orderBy(row))
     out = joined.select(*(F.col(f"d.{c}") for c in own.kept), F.col("d.t").alias("t"), F.col("g.gone").alias("gone"), (number > 1).alias("again"))
     schema = out.drop("gone", "again").schema.add("n_lines", "long").add("n_removed_lines", "long")
-    return out.mapInArrow(_removed, schema)
+    return out.mapInArrow(trimmed(_removed), schema)
 
 
 def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT) -> DataFrame:

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import _text as tx
 from quillspark.llm._rarity import Rarity, rarity
-from quillspark.llm._spark import Hidden, bloom_of, cut, in_bloom, load, text_of
+from quillspark.llm._spark import Hidden, bloom_of, cut, in_bloom, load, text_of, trimmed
 from quillspark.llm._verify import cells, verify
 from quillspark.llm.components import components
 
@@ -94,7 +94,7 @@ def _each(texts: DataFrame, rare: Rarity, schema: str, emit) -> DataFrame:  # no
                 own, first, key = sets(x, y, state.value)
                 yield pa.RecordBatch.from_arrays(emit(b.slice(i, j - i), own, first, key, tx.set_hashes(first, key)), names=names)
 
-    return texts.mapInArrow(run, schema)
+    return texts.mapInArrow(trimmed(run), schema)
 
 
 def similar_enough(percent: int):  # noqa: ANN201
@@ -153,7 +153,7 @@ def join(texts: DataFrame, percent: int = 70) -> tuple[DataFrame, DataFrame, Dat
         return [pa.array(tx.as_long(key[at] ^ tx.U(1 << 63))), pa.array(np.repeat(tx.as_long(hashes[0][once]), p)), pa.array(pos.astype(np.int32))]
 
     entries = _each(texts, rare, "key long, s0 long, pos int", each_key)
-    found = entries.repartition("key").sortWithinPartitions("key", "s0").mapInArrow(shared_only, "key long, s0 long, pos int")
+    found = entries.repartition("key").sortWithinPartitions("key", "s0").mapInArrow(trimmed(shared_only), "key long, s0 long, pos int")
     prefixes = found.groupBy("s0").agg(F.sort_array(F.collect_list(F.struct("key", "pos"))).alias("keys")).join(classes.select("s0", "s1", "n", "last"), "s0")
     prefixes = cut(prefixes.withColumns({"h": F.xxhash64("keys"), "h2": F.xxhash64(F.lit(1), "keys")}))
     by = ["n", "last", "h", "h2"]
@@ -200,7 +200,7 @@ def _wanted_sets(texts: DataFrame, rare: Rarity, wanted: DataFrame) -> DataFrame
                 some = pa.array(np.unique(s0, return_index=True)[1] if len(own) else np.zeros(0, np.int64))  # copies in a chunk are sent once
                 yield pa.RecordBatch.from_arrays([pa.array(tx.as_long(s0)).take(some), pa.array(tx.as_long(s1)).take(some), lists.take(some)], names=["s0", "s1", "keys"])
 
-    sent = source.mapInArrow(run, "s0 long, s1 long, keys array<long>")
+    sent = source.mapInArrow(trimmed(run), "s0 long, s1 long, keys array<long>")
     return sent.join(wanted.select("s0", "s1", "size"), ["s0", "s1"]).groupBy("s0", "s1").agg(F.first("keys").alias("keys"), F.first("size").alias("size"))
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import _text as tx
-from quillspark.llm._spark import Hidden, load, text_of
+from quillspark.llm._spark import Hidden, load, text_of, trimmed
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters"]
 #: Rule, and when it fails. Whole numbers only, so that every engine agrees.
@@ -93,7 +93,7 @@ def ledger(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *map(pa.array, cols)], names=[*kept, *MEASURES])
 
     bits = sum((F.when(F.expr(when), F.lit(BIT[name]).cast("long")).otherwise(F.lit(0).cast("long")) for name, when in RULES), F.lit(0).cast("long"))
-    return own.back(source.mapInArrow(run, schema).withColumn("fail_bits", bits))
+    return own.back(source.mapInArrow(trimmed(run), schema).withColumn("fail_bits", bits))
 
 
 def passes(policy: str, bits: Column | None = None) -> Column:

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.llm import _text as tx
-from quillspark.llm import _verify, bpe, line_dedup, mixing, ngram_join, quality_fm, quality_rules, rabitq, secrets, suffix_dedup, toxicity
+from quillspark.llm import _spark, _verify, bpe, line_dedup, mixing, ngram_join, quality_fm, quality_rules, rabitq, secrets, suffix_dedup, toxicity
 from quillspark.llm._rarity import rarity
 from quillspark.llm._verify import shared
 
@@ -235,6 +235,22 @@ def test_suffix_dedup_memory_of_a_worker():
     assert slices < 150 << 20 and batch < 300 << 20, (slices >> 20, batch >> 20)
 
 
+def test_workers_give_memory_back():
+    """What a task has freed in pieces between what stays goes back to the system when it ends."""
+    rss = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096 >> 20  # noqa: E731, SIM115
+    held = []
+
+    def run(batches):
+        many = [bytearray(2000) for _ in range(100_000)]
+        held.extend(many[::1000])
+        del many
+        yield from batches
+
+    before = rss()
+    assert list(_spark.trimmed(run)(iter([1, 2]))) == [1, 2] and len(held) == 100
+    assert rss() - before < 60
+
+
 def test_bpe_all_code_points():
     from tokenizers import Tokenizer
 
