@@ -63,13 +63,14 @@ def _written(chars: set[int]) -> str:
 
 
 class Classes:
-    """`odd`: characters that the regex library classes otherwise; exact(pattern): the pattern with \\p{L} and \\p{N} as pinned, for texts that hold any."""
+    """`members`: the code points by class; `odd`: characters that the regex library classes otherwise; exact(pattern): the pattern with \\p{L} and \\p{N} as pinned, for texts that hold any."""
 
     def __init__(self) -> None:
         every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
-        self.sets, odd = {}, set()
+        self.sets, self.members, odd = {}, {}, set()
         for name, ranges in (("L", _LETTERS), ("N", _NUMBERS)):
             theirs, ours = set(map(ord, regex.findall(rf"\p{{{name}}}", every))), _members(ranges)
+            self.members[name] = ours
             less, more = _written(theirs - ours), _written(ours - theirs)
             self.sets[name] = f"[\\p{{{name}}}--[{less}]]" if less else f"\\p{{{name}}}"
             self.sets[name] += f"[{more}]" if more else ""

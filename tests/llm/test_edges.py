@@ -259,6 +259,27 @@ def test_bpe_all_code_points():
     assert [x for x, e in zip(texts, t.encode_batch(texts, add_special_tokens=False), strict=True) if c.encode(x) != e.ids] == []
 
 
+def test_bpe_words_together(monkeypatch):
+    """Digests don't go word by word: short words never meet the queue, and what they give is the library's."""
+    from tokenizers import Tokenizer
+
+    rnd = random.Random(7)
+    parts = ["'", "s", "t", "re", "ll", " ", "\n", "1", "\u00bd", "\u00e9", "\u4e2d", "!", "#", "\U0001f600", "a", "the", "\u0130", "\u03a3", "\x85", "e\u0301"]
+    texts = ["", " ", "'s", "don't 'tis ''s !'s '", "a'll'd'm'x a'b'sab", "x" * 60, "12 345"] + ["".join(rnd.choice(parts) for _ in range(rnd.randrange(30))) for _ in range(500)]
+    t, c = Tokenizer.from_file(bpe.default_file()), bpe.Codec(bpe.default_file())
+    t.no_truncation()
+    t.no_padding()
+    monkeypatch.setattr(c, "word", lambda w: pytest.fail(f"{w} went by itself"))
+    monkeypatch.setattr(bpe, "CHUNK", 1000)
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    ids = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert c.digests(texts) == [(len(i), sha(" ".join(map(str, i))), sha(t.decode(i, skip_special_tokens=False))) for i in ids]
+    monkeypatch.undo()
+    odd = ["y" * 300 + " \u00f1" * 70, "a<|endoftext|> hi", "", "z" * 65]
+    assert c.digests(odd) == [c.digest(x) for x in odd]
+    assert c.digest(odd[0])[0] == len(t.encode(odd[0], add_special_tokens=False).ids)
+
+
 def test_bpe_documents(spark):
     from tokenizers import Tokenizer
 
